@@ -1,0 +1,40 @@
+"""Intermediate tables in the cluster's shared checkpoint folder.
+
+``settle`` cuts the lineage of a frame that several later steps read. It writes
+Parquet instead of calling ``checkpoint()``: later steps then read only the
+columns they need, and Spark knows the table's real size when it plans joins.
+Nothing is lost with an executor, because the folder is shared storage.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_local_folders: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        shared = _local_folders.setdefault(app, tempfile.mkdtemp(prefix="heatsheet-"))
+    return f"{shared.rstrip('/')}/heatsheet-{app}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and return a frame that reads it back."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Remove every table this application settled. Frames that read them become invalid."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
