@@ -6,39 +6,61 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _part(parts: Column, i: int) -> Column:
-    return F.get(parts, F.lit(i)).try_cast("bigint")
+_PART = r"\s*[+-]?\d+\s*"
+_THREE_PARTS = f"^{_PART}:{_PART}:{_PART}$"
+_TWO_PARTS = f"^{_PART}:{_PART}$"
 
+# The shape is tested first, because a failing cast of text is slow. Parts are cut with
+# substring_index, which needs neither a regular expression nor an array.
 
-def _seconds(hours: Column, minutes: Column, seconds: Column) -> Column:
-    in_minutes = F.try_add(F.try_multiply(hours, F.lit(60)), minutes)
-    return F.try_add(F.try_multiply(in_minutes, F.lit(60)), seconds)
+
+def _number(text: Column) -> Column:
+    return text.try_cast("bigint")
+
+
+def _sixty_times(units: Column, more: Column) -> Column:
+    return F.try_add(F.try_multiply(units, F.lit(60)), more)
+
+
+def _seconds_of_three(text: Column) -> Column:
+    first = _number(F.substring_index(text, ":", 1))
+    second = _number(F.substring_index(F.substring_index(text, ":", 2), ":", -1))
+    last = _number(F.substring_index(text, ":", -1))
+    return F.when(text.rlike(_THREE_PARTS), _sixty_times(_sixty_times(first, second), last))
+
+
+def _seconds_of_two(text: Column) -> Column:
+    first = _number(F.substring_index(text, ":", 1))
+    last = _number(F.substring_index(text, ":", -1))
+    return F.when(text.rlike(_TWO_PARTS), _sixty_times(first, last))
 
 
 def parse_hms_strict(text: Column) -> Column:
     """Seconds of ``H:MM:SS``; NULL unless there are exactly three whole numbers."""
-    parts = F.split(text, ":", -1)
-    return F.when(F.size(parts) == 3, _seconds(_part(parts, 0), _part(parts, 1), _part(parts, 2)))
+    return _seconds_of_three(text)
 
 
 def parse_hms_lenient(text: Column) -> Column:
     """Seconds of ``H:MM:SS`` or ``MM:SS``; 0 for anything else, missing text included."""
-    parts = F.split(text, ":", -1)
-    value = F.when(
-        F.size(parts) == 3, _seconds(_part(parts, 0), _part(parts, 1), _part(parts, 2))
-    ).when(F.size(parts) == 2, _seconds(F.lit(0).cast("bigint"), _part(parts, 0), _part(parts, 1)))
-    return F.coalesce(value, F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    return F.coalesce(_seconds_of_three(text), _seconds_of_two(text), zero)
 
 
-def _split(seconds: Column) -> tuple[Column, Column, Column]:
-    whole = seconds.cast("bigint")
-    return F.floor(whole / 3600), F.floor(F.pmod(whole, F.lit(3600)) / 60), F.pmod(whole, F.lit(60))
+def _two_digits(number: Column) -> Column:
+    return F.lpad(number.cast("string"), 2, "0")
+
+
+def _minutes_seconds(whole: Column) -> list[Column]:
+    minutes = F.floor(F.pmod(whole, F.lit(3600)) / 60)
+    return [F.lit(":"), _two_digits(minutes), F.lit(":"), _two_digits(F.pmod(whole, F.lit(60)))]
 
 
 def format_hms(seconds: Column) -> Column:
     """``HH:MM:SS``, fractions cut off, hours beyond 99 written in full; NULL stays NULL."""
-    hours, minutes, rest = _split(seconds)
-    return F.when(seconds.isNotNull(), F.format_string("%02d:%02d:%02d", hours, minutes, rest))
+    whole = seconds.cast("bigint")
+    hours = F.floor(whole / 3600).cast("string")
+    padded = F.lpad(hours, F.greatest(F.length(hours), F.lit(2)), F.lit("0"))
+    return F.concat(padded, *_minutes_seconds(whole))
 
 
 def format_hms_hours(hours: Column) -> Column:
@@ -54,11 +76,10 @@ def format_timedelta(seconds: Column) -> Column:
     """``[D day[s], ]H:MM:SS``, fractions cut off; NULL stays NULL."""
     whole = seconds.cast("bigint")
     days = F.floor(whole / 86_400)
-    hours, minutes, rest = _split(F.pmod(whole, F.lit(86_400)))
     unit = F.when(F.abs(days) == 1, F.lit(" day, ")).otherwise(F.lit(" days, "))
     prefix = F.when(days == 0, F.lit("")).otherwise(F.concat(days.cast("string"), unit))
-    clock = F.format_string("%d:%02d:%02d", hours, minutes, rest)
-    return F.when(seconds.isNotNull(), F.concat(prefix, clock))
+    hours = F.floor(F.pmod(whole, F.lit(86_400)) / 3600).cast("string")
+    return F.concat(prefix, hours, *_minutes_seconds(whole))
 
 
 def hours(seconds: Column) -> Column:

@@ -31,7 +31,7 @@ def full_size_penalty(remaining: Column, seconds: Column) -> Column:
 def to_number(value: Column) -> Column:
     """A number from text or a number; NULL for what cannot be read, NaN and infinities."""
     number = value.try_cast("double")
-    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    return F.when(F.abs(number) < float("inf"), number)  # NaN counts as larger than infinity
 
 
 def clean_remaining(value: Column) -> Column:

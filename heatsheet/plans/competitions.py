@@ -117,43 +117,43 @@ def density(
     timed = df.select("full_event", "seconds", clock.hours(F.col("seconds")).alias("__x")).filter(
         F.col("__x") <= max_hours
     )
-    overall = _curve(timed.withColumn("__all", F.lit(1)), "__all", max_hours, points)
-    per_event = _curve(_events(timed, full_event), "full_event", max_hours, points)
+    count, deviation = timed.agg(F.count("__x"), F.stddev_samp("__x")).first()
+    widths = _events(timed, full_event).groupBy("full_event").agg(
+        F.count("__x").alias("__n"), F.stddev_samp("__x").alias("__sd")
+    )
+    enough = (F.col("__n") >= 2) & (F.col("__sd") > 0) & F.lit(count >= 2 and deviation > 0)
+    widths = widths.filter(enough)
 
-    # Each event has one row per grid point, so these windows are small.
-    event = Window.partitionBy("full_event")
-    # ``overall`` has one row per grid point.
-    both = lookup(
-        per_event.withColumnRenamed("y", "__y"),
-        F.broadcast(overall.select("point", F.col("y").alias("y_all"))),
-        ["point"],
-        how="inner",
+    counts = timed.groupBy("full_event", "seconds").agg(F.count(F.lit(1)).alias("__w"))
+    overall = counts.groupBy("seconds").agg(F.sum("__w").alias("__w")).withColumns(
+        {"__n": F.lit(count), "__sd": F.lit(float(deviation or 0.0))}
     )
+    per_event = lookup(counts, widths, ["full_event"], how="inner")
+
+    # One row per grid point, so the broadcast and the windows below are small.
+    y_all = _curve(overall, [], max_hours, points).select("point", F.col("__y").alias("y_all"))
+    curves = _curve(per_event, ["full_event"], max_hours, points)
+    both = lookup(curves, F.broadcast(y_all), ["point"], how="inner")
+    event = Window.partitionBy("full_event")
     peak, peak_all = F.max("__y").over(event), F.max("y_all").over(event)
     scaled = F.when(peak > 0, F.col("__y") * (peak_all / peak)).otherwise(F.col("__y"))
     return both.select("full_event", "point", "x", "y_all", scaled.alias("y_event"))
 
 
-def _curve(timed, key, max_hours, points):
-    spread = timed.groupBy(key).agg(
-        F.count("__x").alias("__n"), F.stddev_samp("__x").alias("__sd")
-    )
-    spread = spread.filter((F.col("__n") >= 2) & (F.col("__sd") > 0)).withColumn(
-        "__h", F.col("__sd") * F.pow(F.col("__n"), F.lit(-0.2))
-    )
-    counts = timed.groupBy(key, "seconds").agg(F.count(F.lit(1)).alias("__w"))
-    weighted = lookup(counts, spread, [key], how="inner")
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
+def _curve(counts: DataFrame, by: list[str], max_hours: float, points: int) -> DataFrame:
+    """Density on the grid from distinct times (seconds, __w) with size __n and spread __sd."""
+    width = F.col("__sd") * F.pow(F.col("__n"), F.lit(-0.2))
     x = F.col("point") * F.lit(max_hours / (points - 1))
     u = (x - clock.hours(F.col("seconds"))) / F.col("__h")
-    on_grid = weighted.select(key, "seconds", "__w", "__n", "__h", grid)
-    sums = on_grid.groupBy(key, "point").agg(
+    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
+    on_grid = counts.withColumn("__h", width).withColumn("point", grid)
+    sums = on_grid.groupBy(*by, "point").agg(
         F.sum(F.col("__w") * F.exp(u * u * -0.5)).alias("__sum"),
-        F.first("__n").alias("__n"),
-        F.first("__h").alias("__h"),
+        F.max("__n").alias("__n"),
+        F.max("__h").alias("__h"),
     )
     height = F.col("__sum") / (F.col("__n") * F.col("__h") * F.lit(sqrt(2 * pi)))
-    return sums.select(key, "point", x.alias("x"), height.alias("y"))
+    return sums.select(*by, "point", x.alias("x"), height.alias("__y"))
 
 
 def five_number(
