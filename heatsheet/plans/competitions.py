@@ -114,46 +114,70 @@ def density(
     no curve. Times are whole seconds, so a curve depends on at most 3600 * max_hours
     distinct times, however many rows there are.
     """
-    timed = df.select("full_event", "seconds", clock.hours(F.col("seconds")).alias("__x")).filter(
-        F.col("__x") <= max_hours
-    )
-    count, deviation = timed.agg(F.count("__x"), F.stddev_samp("__x")).first()
-    widths = _events(timed, full_event).groupBy("full_event").agg(
-        F.count("__x").alias("__n"), F.stddev_samp("__x").alias("__sd")
-    )
-    enough = (F.col("__n") >= 2) & (F.col("__sd") > 0) & F.lit(count >= 2 and deviation > 0)
-    widths = widths.filter(enough)
-
-    counts = timed.groupBy("full_event", "seconds").agg(F.count(F.lit(1)).alias("__w"))
-    overall = counts.groupBy("seconds").agg(F.sum("__w").alias("__w")).withColumns(
-        {"__n": F.lit(count), "__sd": F.lit(float(deviation or 0.0))}
-    )
-    per_event = lookup(counts, widths, ["full_event"], how="inner")
-
-    # One row per grid point, so the broadcast and the windows below are small.
+    timed = df.select("full_event", "seconds").filter(clock.hours(F.col("seconds")) <= max_hours)
+    counts = settle(timed.groupBy("full_event", "seconds").agg(F.count(F.lit(1)).alias("__w")))
+    weights = counts.groupBy("seconds").agg(F.sum("__w").alias("__w"))
+    per_event = _with_bandwidth(_events(counts, full_event), ["full_event"])
+
+    # Few bytes but much arithmetic follow, so the number of partitions is fixed: by bytes
+    # alone they would be merged. An event has a bounded number of distinct times, so it
+    # may stay in one partition, and its curve needs no further shuffle. Its size __n is
+    # part of the keys to set this partitioning apart from the one the join leaves.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = per_event.repartition(tasks, "full_event", "__n")
+    curves = _curve(spread, ["full_event"], max_hours, points)
+    overall = _with_bandwidth(weights, []).repartition(tasks, "seconds", "__w")
     y_all = _curve(overall, [], max_hours, points).select("point", F.col("__y").alias("y_all"))
-    curves = _curve(per_event, ["full_event"], max_hours, points)
+
+    # One row per grid point, so the broadcast and the windows are small.
     both = lookup(curves, F.broadcast(y_all), ["point"], how="inner")
-    event = Window.partitionBy("full_event")
+    event = Window.partitionBy("full_event", "__n")
     peak, peak_all = F.max("__y").over(event), F.max("y_all").over(event)
     scaled = F.when(peak > 0, F.col("__y") * (peak_all / peak)).otherwise(F.col("__y"))
     return both.select("full_event", "point", "x", "y_all", scaled.alias("y_event"))
 
 
+def _with_bandwidth(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Add size ``__n`` and bandwidth ``__h`` to counted times; drop sides without spread."""
+    x, w = clock.hours(F.col("seconds")), F.col("__w")
+    sums = counts.groupBy(*by).agg(
+        F.sum("__w").alias("__n"),
+        F.try_divide(F.sum(w * x), F.sum(w)).alias("__mean"),
+        (F.min("seconds") < F.max("seconds")).alias("__spread"),
+    )
+    centred = _beside(counts, sums.filter("__spread").drop("__spread"), by)
+    squares = centred.groupBy(*by).agg(
+        F.max("__n").alias("__n"),
+        F.sum(w * (x - F.col("__mean")) * (x - F.col("__mean"))).alias("__squares"),
+    )
+    deviation = F.sqrt(F.col("__squares") / (F.col("__n") - 1))
+    widths = squares.filter(F.col("__n") >= 2).select(
+        *by, "__n", (deviation * F.pow(F.col("__n"), F.lit(-0.2))).alias("__h")
+    )
+    return _beside(counts, widths, by)
+
+
+def _beside(rows: DataFrame, figures: DataFrame, by: list[str]) -> DataFrame:
+    """Put a group's figures beside its rows; without keys the one row of figures is literal."""
+    if by:
+        return lookup(rows, figures, by, how="inner")
+    one = figures.first()
+    if one is None:
+        return rows.limit(0).withColumns({c: F.lit(0.0) for c in figures.columns})
+    return rows.withColumns({c: F.lit(one[c]) for c in figures.columns})
+
+
 def _curve(counts: DataFrame, by: list[str], max_hours: float, points: int) -> DataFrame:
-    """Density on the grid from distinct times (seconds, __w) with size __n and spread __sd."""
-    width = F.col("__sd") * F.pow(F.col("__n"), F.lit(-0.2))
+    """Density on the grid from counted times with size ``__n`` and bandwidth ``__h``."""
     x = F.col("point") * F.lit(max_hours / (points - 1))
     u = (x - clock.hours(F.col("seconds"))) / F.col("__h")
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    on_grid = counts.withColumn("__h", width).withColumn("point", grid)
-    sums = on_grid.groupBy(*by, "point").agg(
-        F.sum(F.col("__w") * F.exp(u * u * -0.5)).alias("__sum"),
-        F.max("__n").alias("__n"),
-        F.max("__h").alias("__h"),
+    on_grid = counts.withColumn("point", grid)
+    sums = on_grid.groupBy(*by, "__n", "__h", "point").agg(
+        F.sum(F.col("__w") * F.exp(u * u * -0.5)).alias("__sum")
     )
     height = F.col("__sum") / (F.col("__n") * F.col("__h") * F.lit(sqrt(2 * pi)))
-    return sums.select(*by, "point", x.alias("x"), height.alias("__y"))
+    return sums.select(*by, "__n", "point", x.alias("x"), height.alias("__y"))
 
 
 def five_number(

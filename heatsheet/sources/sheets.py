@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from functools import reduce
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup
@@ -45,7 +45,7 @@ def union_sources(
 def _with_position(sheets: DataFrame) -> DataFrame:
     return sheets.select(
         "*",
-        F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("source"),
+        _sheet_name().alias("source"),
         F.struct(
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("line"),
@@ -53,6 +53,12 @@ def _with_position(sheets: DataFrame) -> DataFrame:
     )
 
 
+def _sheet_name() -> Column:
+    # The metadata column holds the name as part of a URI, where a plus is just a plus.
+    encoded = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
+    return F.regexp_replace(F.url_decode(encoded), r"\.[^.]*$", "")
+
+
 def tag_source(
     df: DataFrame,
     source_col: str = "source",
