@@ -83,7 +83,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_measures(attempts(spark, sf_dir))
+    rows = hs.settle(with_measures(attempts(spark, sf_dir)))
     ranked = hs.with_rank(rows, "rank", "corrected_time", ["event"], "dense")
     rank = F.when(F.col("event") != UNRANKED_EVENT, F.col("rank"))
     rows = with_competitor_totals(ranked.withColumn("rank", rank))

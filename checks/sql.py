@@ -122,7 +122,7 @@ def ranking(weighted: bool = False) -> str:
            AS weighted_percentile_rank"""
     total = " + ".join(f"coalesce({c}, 0)" for c in columns)
     known = " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in columns)
-    listed = ", ".join(f"CAST({c} AS INT) AS {c}" for c in columns)
+    listed = ", ".join(columns)
     return f"""scored_rows AS (
   SELECT event, name, date, corrected_time AS x FROM r
   WHERE date >= (SELECT max(date) FROM r) - INTERVAL 1 YEAR
@@ -148,7 +148,7 @@ def ranking(weighted: bool = False) -> str:
   SELECT *, ({total}) / CAST(({known}) AS DOUBLE) AS avg_rank FROM joined
 ), ranking AS (
   SELECT name, attempts AS eligible_attempts, {listed}, avg_rank,
-         CAST(row_number() OVER (ORDER BY avg_rank, name, rating_rank) AS INT) AS overall_rank
+         row_number() OVER (ORDER BY avg_rank, name, rating_rank) AS overall_rank
   FROM averaged
 )"""
 
@@ -505,8 +505,7 @@ def oracle_sql() -> dict[str, str]:
                   WHERE k >= 8 AND date IS NOT NULL)
             SELECT entry_id, name, date FROM d WHERE date_diff('day', date, newest) <= 547""",
         "positions": f"""WITH {FACT} SELECT entry_id, round(corrected_time, 6) AS corrected_time,
-            CAST(row_number() OVER (ORDER BY g.corrected_time ASC NULLS LAST, entry_id) AS INT)
-              AS position FROM good g""",
+            row_number() OVER (ORDER BY g.corrected_time ASC NULLS LAST, entry_id) AS position FROM good g""",
         "event_overview": f"""WITH {FACT}, e AS (
               SELECT full_event, count(DISTINCT name) AS entrants,
                      count(DISTINCT name) + CAST(count(*) > count(name) AS BIGINT)
@@ -529,8 +528,8 @@ def oracle_sql() -> dict[str, str]:
                    round(CASE WHEN n = 1 THEN 1 ELSE 1 - (place - 1) / CAST(n - 1 AS DOUBLE) END, 6)
                      AS performance FROM p""",
         "leaderboard": f"""WITH {FACT} SELECT full_event, entry_id, name, time_text, date,
-            round(ppm, 6) AS ppm, pieces, CAST(row_number() OVER (PARTITION BY full_event
-              ORDER BY rank ASC NULLS LAST, name ASC NULLS LAST, entry_id) AS INT) AS position
+            round(ppm, 6) AS ppm, pieces, row_number() OVER (PARTITION BY full_event
+              ORDER BY rank ASC NULLS LAST, name ASC NULLS LAST, entry_id) AS position
             FROM r""",
         "density": f"WITH {FACT}, {DENSITY}",
         "attempt_boxes": f"""WITH {FACT}, n AS (SELECT full_event, row_number() OVER (

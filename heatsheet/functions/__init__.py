@@ -13,7 +13,6 @@ from .measures import (
     clean_name,
     clean_remaining,
     corrected_time,
-    count_medals,
     full_size_penalty,
     medal,
     ppm,
@@ -25,7 +24,7 @@ from .measures import (
 )
 
 __all__ = [
-    "clean_name", "clean_remaining", "corrected_time", "count_medals", "day_label", "format_hms",
+    "clean_name", "clean_remaining", "corrected_time", "day_label", "format_hms",
     "format_hms_hours", "format_hms_or_dash", "format_timedelta", "full_size_penalty", "hours",
     "medal", "parse_hms_lenient", "parse_hms_strict", "ppm", "rank_of_total", "round_or_dash",
     "time_penalty", "to_day", "to_number", "zero_if_missing",

@@ -63,6 +63,3 @@ def medal(rank: Column, place: int) -> Column:
     """1 if the rank is this place, else 0."""
     return F.when(rank == place, F.lit(1)).otherwise(F.lit(0))
 
-
-def count_medals(rank: Column, place: int) -> Column:
-    return F.count_if(rank == place)

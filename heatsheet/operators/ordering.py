@@ -10,7 +10,8 @@ way to the same result:
    result, so that partition numbers are data and cannot change any more;
 3. sum inside each partition, and carry over the sums of earlier partitions. Only a
    group that crosses a partition border needs a carry, and a border is crossed by
-   one group, so the broadcast carry table has fewer rows than there are partitions.
+   one group, so the broadcast carry table has fewer rows than there are partitions,
+   MAX_RANGE_PARTS at most.
 
 Every order must be total: callers end it with a unique column.
 """
@@ -25,7 +26,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..settings import ONE_TASK_ROWS
+from ..settings import MAX_RANGE_PARTS, ONE_TASK_ROWS
 from ..sources.scratch import settle
 from .joins import lookup
 
@@ -66,7 +67,7 @@ def running_before(
         ahead = Window.partitionBy(*by).orderBy(*order).rowsBetween(_START, -1)
         return df.select("*", *[_or_zero(F.sum(e).over(ahead)).alias(c) for c, e in sums.items()])
 
-    parts = max(2, ceil(2 * sizes.total / one_task_rows))
+    parts = min(max(2, ceil(2 * sizes.total / one_task_rows)), MAX_RANGE_PARTS)
     addends = [e.alias(f"__add_{c}") for c, e in sums.items()]
     spread = df.select("*", *addends).repartitionByRange(parts, *by, *order)
     placed = settle(spread.withColumn("__part", F.spark_partition_id()))
@@ -97,7 +98,7 @@ def running_before(
 
 
 def _or_zero(column: Column) -> Column:
-    return F.coalesce(column, F.lit(0))
+    return F.coalesce(column, F.lit(0).cast("bigint"))
 
 
 def with_position(
@@ -110,7 +111,7 @@ def with_position(
 ) -> DataFrame:
     """Number the rows of each group from 1 in a total order."""
     counted = running_before(df, {out: F.lit(1)}, order, by, one_task_rows, sizes)
-    return counted.withColumn(out, (F.col(out) + 1).cast("int"))
+    return counted.withColumn(out, F.col(out) + 1)
 
 
 def with_rank(
@@ -142,9 +143,9 @@ def _rank_by_window(df, out, value, by, method, descending):
     group = Window.partitionBy(*by)
     ordered = group.orderBy(_directed(value, descending))
     if method == "dense":
-        rank = F.dense_rank().over(ordered)
+        rank = F.dense_rank().over(ordered).cast("bigint")
     elif method == "min":
-        rank = F.rank().over(ordered)
+        rank = F.rank().over(ordered).cast("bigint")
     else:
         last = F.count(F.lit(1)).over(ordered.rangeBetween(_START, _NOW))
         rank = (F.rank().over(ordered) + last) / F.lit(2.0)
@@ -164,9 +165,9 @@ def _rank_by_values(df, out, value, by, method, descending, one_task_rows):
     )
     average = F.col("__ahead") + (F.col("n") + 1) / F.lit(2.0)
     if method == "dense":
-        rank = (F.col("__distinct") + 1).cast("int")
+        rank = F.col("__distinct") + 1
     elif method == "min":
-        rank = (F.col("__ahead") + 1).cast("int")
+        rank = F.col("__ahead") + 1
     else:
         rank = average
     if method == "percent":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clock, measures
@@ -21,39 +21,60 @@ def _named(df: DataFrame, name: str | None = None) -> DataFrame:
 
 def medals(df: DataFrame, name: str | None = None) -> DataFrame:
     """First, second and third places per competitor, over dated rows."""
-    dated = _named(df, name).filter(F.col("date").isNotNull())
-    return dated.groupBy("name").agg(*_medal_counts())
-
-
-def _medal_counts():
-    places = {"gold": 1, "silver": 2, "bronze": 3}
-    return [measures.count_medals(F.col("rank"), k).alias(c) for c, k in places.items()]
+    return _figures(_dated(_named(df, name))).select("name", *_PLACES)
 
 
 def competitor_stats(df: DataFrame, name: str | None = None) -> DataFrame:
     """Events, pieces, fastest and mean time per competitor, over dated rows."""
-    figures = _figures(_named(df, name).filter(F.col("date").isNotNull()))
-    return figures.drop("gold", "silver", "bronze")
-
-
-def _figures(rows: DataFrame) -> DataFrame:
-    # Per (name, event) first: distinct events become a plain count, and a competitor
-    # with very many rows is summed in many tasks.
-    seconds = F.col("seconds")
-    per_event = rows.groupBy("name", "full_event").agg(
-        F.sum("pieces").alias("pieces"),
-        F.min("seconds").alias("fastest"),
-        F.sum("seconds").alias("seconds"),
-        F.count("seconds").alias("timed"),
-        *_medal_counts(),
-    )
-    return per_event.groupBy("name").agg(
-        F.count("full_event").alias("events"),
-        F.coalesce(F.sum("pieces"), F.lit(0.0)).alias("pieces"),
-        F.min("fastest").alias("fastest"),
-        F.try_divide(F.sum(seconds).cast("double"), F.sum("timed")).alias("average"),
-        *[F.sum(c).alias(c) for c in ("gold", "silver", "bronze")],
-    )
+    return _figures(_dated(_named(df, name))).select("name", *_STATS)
+
+
+_PLACES = {"gold": 1, "silver": 2, "bronze": 3}
+_STATS = ["events", "pieces", "fastest", "average"]
+
+
+def _dated(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("date").isNotNull())
+
+
+def _figures(rows: DataFrame, conditions: dict[str, Column] | None = None) -> DataFrame:
+    """Figures per competitor, for the rows under each condition, in one pass.
+
+    The columns of a condition begin with its name. Rows are summed per (name, event) first:
+    distinct events become a plain count, and many tasks share a competitor with very many
+    rows.
+    """
+    conditions = conditions or {"": F.lit(True)}
+    per_event, per_name = [], []
+    for prefix, condition in conditions.items():
+        def under(column, condition=condition):
+            return F.when(condition, F.col(column))
+
+        def named(column, prefix=prefix):
+            return f"{prefix}{column}"
+
+        per_event += [
+            F.count_if(condition).alias(named("rows")),
+            F.sum(under("pieces")).alias(named("pieces")),
+            F.min(under("seconds")).alias(named("fastest")),
+            F.sum(under("seconds")).alias(named("seconds")),
+            F.count(under("seconds")).alias(named("timed")),
+            *[
+                F.count_if(condition & (F.col("rank") == place)).alias(named(medal))
+                for medal, place in _PLACES.items()
+            ],
+        ]
+        present = F.col("full_event").isNotNull() & (F.col(named("rows")) > 0)
+        seconds = F.sum(named("seconds")).cast("double")
+        per_name += [
+            F.count_if(present).alias(named("events")),
+            F.coalesce(F.sum(named("pieces")), F.lit(0.0)).alias(named("pieces")),
+            F.min(named("fastest")).alias(named("fastest")),
+            F.try_divide(seconds, F.sum(named("timed"))).alias(named("average")),
+            F.sum(named("rows")).alias(named("rows")),
+            *[F.sum(named(medal)).alias(named(medal)) for medal in _PLACES],
+        ]
+    return rows.groupBy("name", "full_event").agg(*per_event).groupBy("name").agg(*per_name)
 
 
 def population_pct(
@@ -81,19 +102,21 @@ def competitor_profile(
     Shown figures count dated rows only, percentiles compare all rows. Time percentiles
     are turned round, so that a higher one is better. Unranked competitors have NULL ranks.
     """
-    named = _named(df)
-    everyone = _figures(named).select("name", "events", "pieces", "fastest", "average")
-    compared = population_pct(everyone, ["events", "pieces", "fastest", "average"], one_task_rows)
-    compared = compared.select(
+    figures = _figures(
+        _named(df), {"": F.col("date").isNotNull(), "all_": F.lit(True)}
+    )
+    compared = population_pct(figures, [f"all_{c}" for c in _STATS], one_task_rows)
+    shown = compared.filter(F.col("rows") > 0).select(
         "name",
-        "events_pct",
-        "pieces_pct",
-        (100 - F.col("fastest_pct")).alias("fastest_pct"),
-        (100 - F.col("average_pct")).alias("average_pct"),
+        *_STATS,
+        *_PLACES,
+        F.col("all_events_pct").alias("events_pct"),
+        F.col("all_pieces_pct").alias("pieces_pct"),
+        (100 - F.col("all_fastest_pct")).alias("fastest_pct"),
+        (100 - F.col("all_average_pct")).alias("average_pct"),
     )
-    shown = _figures(named.filter(F.col("date").isNotNull()))
     if name is not None:
-        compared, shown = for_competitor(compared, name), for_competitor(shown, name)
+        shown = for_competitor(shown, name)
     ranks = ranking.select(
         "name",
         "overall_rank",
@@ -102,7 +125,7 @@ def competitor_profile(
         "percentile_rank",
         F.bround("avg_rank", 2).alias("avg_rank"),
     )
-    return lookup(lookup(shown, compared, ["name"]), ranks, ["name"]).select(
+    return lookup(shown, ranks, ["name"]).select(
         "*",
         ranking.agg(F.count(F.lit(1))).scalar().alias("eligible"),
         clock.format_timedelta(F.col("fastest")).alias("fastest_text"),
@@ -128,11 +151,9 @@ def competitor_series(
     The moving average starts anew at the left end of the series.
     """
     timed = _named(df, name).dropna(subset=["seconds", "date", "full_event"])
-    recent = trailing_per_key(
-        timed.select("name", "entry_id", "full_event", "date", "seconds", "rank", "pieces"),
-        "name",
-        SERIES_DAYS,
-    )
+    columns = ["name", "entry_id", "full_event", "date", "seconds", "rank", "pieces"]
+    # The timeline reads its rows several times.
+    recent = settle(trailing_per_key(timed.select(*columns), "name", SERIES_DAYS))
     placed = timeline(recent, "seconds", one_task_rows=one_task_rows)
     rows = with_entrants(placed, _named(df))
     average = clock.hours(F.col("moving_average"))
@@ -194,7 +215,7 @@ _HISTORY = [
 
 def history(df: DataFrame, name: str | None = None) -> DataFrame:
     """Dated attempts with the rank as "N/T"; newest first when one competitor is asked."""
-    rows = _named(df, name).filter(F.col("date").isNotNull())
+    rows = _dated(_named(df, name))
     listed = with_entrants(rows, _named(df)).select(
         "name",
         "entry_id",

@@ -88,18 +88,19 @@ def _z(value: str, mean: Column, sd: Column, timed: Column) -> Column:
 
 
 def _score_by_window(known, key, value, sizes: GroupSizes, one_task_rows):
+    # The rank comes first: its sort by (event, value) then serves the other windows too.
+    ranked = with_rank(
+        known, "percentile", value, [key], "percent", one_task_rows=one_task_rows, sizes=sizes
+    )
     event = Window.partitionBy(key)
     timed = F.count(value).over(event)
-    ranked = known.withColumns(
+    return ranked.withColumns(
         {
             "__attempts": F.count(F.lit(1)).over(event),
             "event_timed": timed,
             "z": _z(value, F.avg(value).over(event), F.stddev_samp(value).over(event), timed),
         }
     )
-    return with_rank(
-        ranked, "percentile", value, [key], "percent", one_task_rows=one_task_rows, sizes=sizes
-    )
 
 
 def _score_by_values(known, key, value, min_event_attempts, sizes, one_task_rows):

@@ -118,7 +118,8 @@ def repair_ranks(
         "dense",
         one_task_rows=one_task_rows,
     )
-    return ranked.select(*rows.columns).unionByName(rows.filter(~broken))
+    repaired = ranked.withColumn("rank", F.col("rank").cast(rows.schema["rank"].dataType))
+    return repaired.select(*rows.columns).unionByName(rows.filter(~broken))
 
 
 def build_results_from_sheets(

@@ -37,11 +37,11 @@ RESULTS = _struct(
 RANKINGS = _struct(
     name=_TEXT,
     eligible_attempts=_WHOLE,
-    rating_rank=T.IntegerType(),
-    z_rank=T.IntegerType(),
-    percentile_rank=T.IntegerType(),
+    rating_rank=_WHOLE,
+    z_rank=_WHOLE,
+    percentile_rank=_WHOLE,
     avg_rank=_REAL,
-    overall_rank=T.IntegerType(),
+    overall_rank=_WHOLE,
 )
 
 # Source tables of the refresh job. Only the columns the job reads or drops by

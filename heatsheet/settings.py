@@ -4,6 +4,10 @@
 # Larger groups take the range-partitioned way in operators/ordering.py.
 ONE_TASK_ROWS = 2_000_000
 
+# Range partitions at most. Sorting and running sums spill, so a partition may outgrow
+# ONE_TASK_ROWS; a shuffle with far more partitions than this would not pay.
+MAX_RANGE_PARTS = 20_000
+
 # Fixed values of the analysis: they must stay as they are for right results.
 FULL_PIECES = 500.0            # size class the analysis keeps
 SERIES_DAYS = 547              # a competitor's series covers the last 1.5 years

@@ -69,7 +69,11 @@ def load_rankings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_results(df: DataFrame, path: str) -> None:
+def write_results(df: DataFrame, path: str, cluster_by: Iterable[str] = ()) -> None:
+    """Write the fact. ``cluster_by``, say date and entry_id, keeps close values in one file,
+    so that a reader of the last year skips the other files."""
+    if keys := list(cluster_by):
+        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     df.write.mode("overwrite").parquet(path)
 
 
