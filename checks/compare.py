@@ -46,16 +46,27 @@ def _rows(columns, rows):
     return Counter(tuple(_plain(row[i]) for i in order) for row in rows)
 
 
+_TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date",
+}
+
+
 def compare(spark: SparkSession, db, name: str, sf_dir: str) -> list[str]:
     """Differences between a query and its SQL; empty when they agree."""
     found = registry.queries()[name](spark, sf_dir)
     wanted = db.execute(sql.oracle_sql()[name])
     wanted_columns = [d[0] for d in wanted.description]
+    wanted_rows = wanted.fetchall()
     problems = []
     if sorted(found.columns) != sorted(wanted_columns):
         problems.append(f"columns {sorted(found.columns)} / {sorted(wanted_columns)}")
+    types = db.execute(f"DESCRIBE {sql.oracle_sql()[name]}").fetchall()
+    ours_typed, theirs_typed = dict(found.dtypes), {t[0]: _TYPES.get(t[1], t[1]) for t in types}
+    if ours_typed != theirs_typed:
+        odd = {c for c in ours_typed if ours_typed[c] != theirs_typed.get(c)}
+        problems.append(f"types of {odd}")
     ours = _rows(found.columns, [tuple(r) for r in found.collect()])
-    theirs = _rows(wanted_columns, wanted.fetchall())
+    theirs = _rows(wanted_columns, wanted_rows)
     if not ours:
         problems.append("no rows")
     if ours != theirs:

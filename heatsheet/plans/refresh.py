@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -16,6 +16,29 @@ from ..sources.scratch import settle
 from ..sources.sheets import drop_if_present, tag_source
 
 _IDS = ("entry_id", "competitor_id")
+_KEYS = ("entry_id", "competition_id", "competitor_id")
+
+
+def _whole(column: Column) -> Column:
+    return column.try_cast("int")
+
+
+# Source column -> column of the fact, and how it is read.
+_READINGS: dict[str, tuple[str, Callable[[Column], Column]]] = {
+    "display_name": ("name", lambda c: c),
+    "source_tab_name": ("event", lambda c: c),
+    "competition_name": ("full_event", lambda c: c),
+    "competition_date": ("date", clock.to_day),
+    "time_value": ("time_text", lambda c: c),
+    "completion_time_seconds": ("seconds", measures.to_number),
+    "pieces_value": ("pieces", measures.to_number),
+    "remaining_value": ("remaining", measures.to_number),
+    "rank_in_competition": ("rank", _whole),
+    "rating_in": ("rating_in", measures.to_number),
+    "rating_out": ("rating_out", measures.to_number),
+    "event_strength_rating": ("event_strength", measures.to_number),
+    "rolling_12mo_avg_completion_time": ("avg_12m_text", clock.format_hms),
+}
 
 
 def build_results(
@@ -31,47 +54,37 @@ def build_results(
     ``repair_events`` are competition ids whose official rank is replaced by the dense
     rank of the corrected time. With ``null_safe`` an unknown competitor matches another.
     """
-    rows = drop_if_present(tables["competition_entries"], "competition_team_size", "load_timestamp")
-    rows = _attach(rows, tables["competitions"], ["competition_id"], ["last_updated_timestamp"])
-    bridge_junk = ["load_timestamp", "role_in_entry"]
-    rows = _attach(rows, tables["entry_competitors"], ["entry_id"], bridge_junk)
-    rows = _attach(rows, tables["competitors"], ["competitor_id"], null_safe=null_safe)
+    # Each table is read before the joins: a date is parsed once per competition, and not
+    # once per result.
+    read = {name: _read(table) for name, table in tables.items()}
     metric_keys = ["competitor_id", "competition_id"]
-    rows = _attach(rows, tables["player_event_metrics"], metric_keys, null_safe=null_safe)
-    S.require(rows, "display_name", "source_tab_name", "competition_name", "competition_date",
-              "time_value", "completion_time_seconds", "pieces_value", "remaining_value",
-              "rank_in_competition", "rating_in", "rating_out", "event_strength_rating",
-              "rolling_12mo_avg_completion_time")
-
-    # The fact is read twice from here on: for the totals per competitor, and for the rows.
-    rows = settle(
-        rows.select(
-            "entry_id",
-            "competitor_id",
-            "competition_id",
-            F.col("display_name").alias("name"),
-            F.col("source_tab_name").alias("event"),
-            F.col("competition_name").alias("full_event"),
-            clock.to_day(F.col("competition_date")).alias("date"),
-            F.col("time_value").alias("time_text"),
-            measures.to_number(F.col("completion_time_seconds")).alias("seconds"),
-            measures.to_number(F.col("pieces_value")).alias("pieces"),
-            F.coalesce(measures.to_number(F.col("remaining_value")), F.lit(0.0)).alias("remaining"),
-            F.col("rank_in_competition").try_cast("int").alias("rank"),
-            measures.to_number(F.col("rating_in")).alias("rating_in"),
-            measures.to_number(F.col("rating_out")).alias("rating_out"),
-            measures.to_number(F.col("event_strength_rating")).alias("event_strength"),
-            clock.format_hms(F.col("rolling_12mo_avg_completion_time")).alias("avg_12m_text"),
-        )
-    )
+    rows = read["competition_entries"]
+    rows = _attach(rows, read["competitions"], ["competition_id"])
+    rows = _attach(rows, read["entry_competitors"], ["entry_id"])
+    rows = _attach(rows, read["competitors"], ["competitor_id"], null_safe)
+    rows = _attach(rows, read["player_event_metrics"], metric_keys, null_safe)
+    if missing := [c for c, (name, _) in _READINGS.items() if name not in rows.columns]:
+        raise ValueError(f"no source table has: {', '.join(missing)}")
+
+    # The rows are read twice from here on: for the totals per competitor, and themselves.
+    rows = settle(rows.withColumn("remaining", F.coalesce("remaining", F.lit(0.0))))
     rows = with_measures(rows)
     if repair_events := list(repair_events):
         rows = repair_ranks(rows, repair_events, "competition_id", one_task_rows)
     return S.conform(with_competitor_totals(rows), S.RESULTS, keep_types=_IDS)
 
 
-def _attach(rows, table, keys, junk=(), null_safe=False):
-    table = drop_if_present(table, *junk)
+def _read(table: DataFrame) -> DataFrame:
+    """Keys and known columns of a source table; anything else is dropped."""
+    known = [
+        reading(F.col(c)).alias(name)
+        for c, (name, reading) in _READINGS.items()
+        if c in table.columns
+    ]
+    return table.select(*[c for c in _KEYS if c in table.columns], *known)
+
+
+def _attach(rows, table, keys, null_safe=False):
     new = [c for c in table.columns if c in keys or c not in rows.columns]
     return lookup(rows, table.select(*new), keys, null_safe)
 
@@ -122,20 +135,41 @@ def repair_ranks(
     return repaired.select(*rows.columns).unionByName(rows.filter(~broken))
 
 
+# Sheet headers -> column names used here. Fixed values.
+SHEET_HEADERS = {
+    "Event": "event",
+    "Name": "name",
+    "Time": "time",
+    "Remaining": "remaining",
+    "Pieces": "pieces",
+    "Date": "date",
+    "Rank": "rank",
+    "Event Name": "full_event",
+    "Player Name": "name",
+    "Player": "name",
+}
+
+
 def build_results_from_sheets(
     sheets: DataFrame,
     event_ratings: DataFrame,
     latest_ratings: DataFrame,
     junk: Iterable[str] = (),
     null_safe: bool = False,
+    headers: dict[str, str] | None = None,
 ) -> DataFrame:
     """The result fact from event sheets.
 
     ``sheets`` has source, row_no, event (the title in each row), name, time, remaining and
     pieces, and may bring further fact columns. ``event_ratings`` is keyed by full_event and
-    name, ``latest_ratings`` by name. Penalties assume the full size, whatever the size
-    column says.
+    name, ``latest_ratings`` by name. ``headers`` renames further columns of the three to
+    fact columns. Penalties assume the full size, whatever the size column says.
     """
+    renames = {**SHEET_HEADERS, **(headers or {})}
+    sheets, event_ratings, latest_ratings = (
+        frame.withColumnsRenamed({c: renames[c] for c in frame.columns if c in renames})
+        for frame in (sheets, event_ratings, latest_ratings)
+    )
     rows = drop_if_present(tag_source(sheets), *junk)
     seconds = clock.parse_hms_strict(F.col("time"))
     remaining = measures.clean_remaining(F.col("remaining"))
@@ -160,9 +194,9 @@ def build_results_from_sheets(
 
 def attach_ratings(rows: DataFrame, ratings: DataFrame, null_safe: bool = False) -> DataFrame:
     """Event ratings by (full_event, name)."""
-    return _attach(rows, ratings, ["full_event", "name"], null_safe=null_safe)
+    return _attach(rows, ratings, ["full_event", "name"], null_safe)
 
 
 def attach_latest(rows: DataFrame, latest: DataFrame, null_safe: bool = False) -> DataFrame:
     """Latest ratings by name."""
-    return _attach(rows, latest, ["name"], null_safe=null_safe)
+    return _attach(rows, latest, ["name"], null_safe)

@@ -75,14 +75,6 @@ SOURCES = {
 }
 
 
-def require(df: DataFrame, *columns: str) -> DataFrame:
-    """Fail early, with the names, when a frame lacks columns a query reads."""
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df
-
-
 def conform(df: DataFrame, schema: T.StructType, keep_types: tuple[str, ...] = ()) -> DataFrame:
     """Select the schema's columns in order, casting each; absent columns become NULL.
 

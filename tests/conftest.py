@@ -5,12 +5,15 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+import heatsheet as hs  # noqa: E402
 from checks.compare import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    yield session("8")
+    spark = session("8")
+    yield spark
+    hs.discard(spark)
 
 
 @pytest.fixture(scope="session")

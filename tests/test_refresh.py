@@ -92,15 +92,19 @@ def test_build_from_sheets(spark):
             ("s1", 1, "First title", "Bob", "DNF", "1:00:00", "x"),
             ("s2", 1, "Second", "Ann", "0:50:00", None, "1000"),
         ],
-        "source string, row_no int, event string, name string, time string, remaining string,"
-        "pieces string",
+        "source string, row_no int, Event string, Name string, Time string, Remaining string,"
+        "Pieces string",
     )
     ratings = spark.createDataFrame(
-        [("First title", "Ann", 1.0, 2.0)], "full_event string, name string, rating_in double, rating_out double"
+        [("First title", "Ann", 1.0, 2.0)],
+        "`Event Name` string, `Player Name` string, rating_in double, `Score Out` double",
     )
-    latest = spark.createDataFrame([("Ann", 9.0)], "name string, latest_rating double")
-    rows = {(r.event, r.name): r for r in
-            hs.build_results_from_sheets(sheets, ratings, latest).collect()}
+    latest = spark.createDataFrame([("Ann", 9.0)], "Player string, latest_rating double")
+    fact = hs.build_results_from_sheets(
+        sheets, ratings, latest, headers={"Score Out": "rating_out"}
+    )
+    assert fact.columns == schema.RESULTS.fieldNames()
+    rows = {(r.event, r.name): r for r in fact.collect()}
     ann = rows["s1", "Ann"]
     assert (ann.full_event, ann.seconds, ann.remaining, ann.pieces) == ("First title", 3600, 100, 500)
     assert (ann.corrected_time, ann.rating_out, ann.latest_rating) == (4500.0, 2.0, 9.0)
