@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,5 +30,5 @@ def lookup(
         F.col(c).eqNullSafe(F.col(f"__{c}")) if null_safe else F.col(c) == F.col(f"__{c}")
         for c in on
     ]
-    joined = rows.join(renamed, reduce(lambda a, b: a & b, equal), how)
+    joined = rows.join(renamed, reduce(and_, equal), how)
     return joined.drop(*[f"__{c}" for c in on])

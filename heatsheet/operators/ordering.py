@@ -2,8 +2,8 @@
 
 A plain window puts every row of a group, or of the whole table when it has no
 keys, into one task. That is the best plan while groups are small, so each operator
-first measures the largest group. Beyond ``one_task_rows`` it takes another
-way to the same result:
+first measures the largest group. Groups beyond ``one_task_rows`` are set apart and take
+another way to the same result, while the others keep the window:
 
 1. reduce the rows to distinct values with counts, where the question allows it;
 2. range-partition by (keys, order), which splits a group of any size, and settle the
@@ -18,6 +18,7 @@ Every order must be total: callers end it with a unique column.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from math import ceil
@@ -48,6 +49,33 @@ def group_sizes(df: DataFrame, by: list[str]) -> GroupSizes:
     return GroupSizes(row[0] or 0, row[1] or 0)
 
 
+def by_size(
+    df: DataFrame,
+    by: list[str],
+    one_task_rows: int,
+    sizes: GroupSizes | None,
+    small: Callable[[DataFrame], DataFrame],
+    large: Callable[[DataFrame, GroupSizes], DataFrame],
+) -> DataFrame:
+    """Apply ``small`` to the rows of groups one task can order, and ``large`` to the rest.
+
+    There are fewer than total / one_task_rows large groups. Their keys are settled, so Spark
+    knows the size of that table when it decides whether to broadcast it.
+    """
+    sizes = sizes or group_sizes(df, by)
+    if sizes.largest <= one_task_rows:
+        return small(df)
+    if not by:
+        return large(df, sizes)
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    crowded = settle(counts.filter(F.col("n") > one_task_rows))
+    keys = crowded.drop("n")
+    crowd = GroupSizes(sizes.largest, crowded.agg(F.sum("n")).first()[0] or 0)
+    few = lookup(df, keys, by, null_safe=True, how="left_anti")
+    many = lookup(df, keys, by, null_safe=True, how="left_semi")
+    return small(few).unionByName(large(many, crowd))
+
+
 def _directed(column: str, descending: bool) -> Column:
     return F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
 
@@ -62,11 +90,19 @@ def running_before(
 ) -> DataFrame:
     """Add sums over the rows that precede each row in its group; 0 for the first row."""
     by = by or []
-    sizes = sizes or group_sizes(df, by)
-    if sizes.largest <= one_task_rows:
+
+    def small(rows):
         ahead = Window.partitionBy(*by).orderBy(*order).rowsBetween(_START, -1)
-        return df.select("*", *[_or_zero(F.sum(e).over(ahead)).alias(c) for c, e in sums.items()])
+        before = [_or_zero(F.sum(e).over(ahead)).alias(c) for c, e in sums.items()]
+        return rows.select("*", *before)
+
+    def large(rows, crowd):
+        return _running_by_range(rows, sums, order, by, one_task_rows, crowd)
 
+    return by_size(df, by, one_task_rows, sizes, small, large)
+
+
+def _running_by_range(df, sums, order, by, one_task_rows, sizes):
     parts = min(max(2, ceil(2 * sizes.total / one_task_rows)), MAX_RANGE_PARTS)
     addends = [e.alias(f"__add_{c}") for c, e in sums.items()]
     spread = df.select("*", *addends).repartitionByRange(parts, *by, *order)
@@ -133,13 +169,20 @@ def with_rank(
     if method not in ("min", "dense", "average", "percent"):
         raise ValueError(f"unknown rank method {method!r}")
     by = by or []
-    sizes = sizes or group_sizes(df, by)
-    if sizes.largest <= one_task_rows:
-        return _rank_by_window(df, out, value, by, method, descending)
-    return _rank_by_values(df, out, value, by, method, descending, one_task_rows)
+
+    def small(rows):
+        return rank_by_window(rows, out, value, by, method, descending)
+
+    def large(rows, _):
+        return _rank_by_values(rows, out, value, by, method, descending, one_task_rows)
+
+    return by_size(df, by, one_task_rows, sizes, small, large)
 
 
-def _rank_by_window(df, out, value, by, method, descending):
+def rank_by_window(
+    df: DataFrame, out: str, value: str, by: list[str], method: str, descending: bool = False
+) -> DataFrame:
+    """The ranks of ``with_rank`` by a plain window, for groups known to be small."""
     group = Window.partitionBy(*by)
     ordered = group.orderBy(_directed(value, descending))
     if method == "dense":
@@ -200,10 +243,19 @@ def quantiles(
     ``percentile`` holds all distinct values of a group in one task. For groups beyond
     ``one_task_rows`` the same values are picked by running counts instead.
     """
-    if (sizes or group_sizes(df, by)).largest <= one_task_rows:
-        return df.groupBy(*by).agg(
+
+    def small(rows):
+        return rows.groupBy(*by).agg(
             *[F.percentile(value, F.lit(float(p))).alias(c) for c, p in probabilities.items()]
         )
+
+    def large(rows, _):
+        return _quantiles_by_values(rows, value, probabilities, by, one_task_rows)
+
+    return by_size(df, by, one_task_rows, sizes, small, large)
+
+
+def _quantiles_by_values(df, value, probabilities, by, one_task_rows):
     counts = value_counts(df, value, by)
     ahead = running_before(
         counts, {"__ahead": F.col("n")}, [_directed(value, False)], by, one_task_rows

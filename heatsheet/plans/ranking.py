@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..operators.filters import as_day, trailing
 from ..operators.joins import lookup
 from ..operators.ordering import (
-    GroupSizes,
+    by_size,
     group_sizes,
     quantiles,
+    rank_by_window,
     row_mean,
     with_position,
     with_rank,
@@ -76,22 +77,24 @@ def score_attempts(
     number of timed rows. An attempt without a time stays, without scores.
     """
     known = df.filter(F.col(key).isNotNull())
-    sizes = group_sizes(known, [key])
-    if sizes.largest <= one_task_rows:
-        scored = _score_by_window(known, key, value, sizes, one_task_rows)
-        return scored.filter(F.col("__attempts") >= min_event_attempts).drop("__attempts")
-    return _score_by_values(known, key, value, min_event_attempts, sizes, one_task_rows)
+
+    def small(rows):
+        return _score_by_window(rows, key, value)
+
+    def large(rows, crowd):
+        return _score_by_values(rows, key, value, crowd, one_task_rows)
+
+    scored = by_size(known, [key], one_task_rows, None, small, large)
+    return scored.filter(F.col("__attempts") >= min_event_attempts).drop("__attempts")
 
 
 def _z(value: str, mean: Column, sd: Column, timed: Column) -> Column:
     return -(F.col(value) - mean) / _usable_deviation(timed, sd)
 
 
-def _score_by_window(known, key, value, sizes: GroupSizes, one_task_rows):
+def _score_by_window(rows, key, value):
     # The rank comes first: its sort by (event, value) then serves the other windows too.
-    ranked = with_rank(
-        known, "percentile", value, [key], "percent", one_task_rows=one_task_rows, sizes=sizes
-    )
+    ranked = rank_by_window(rows, "percentile", value, [key], "percent")
     event = Window.partitionBy(key)
     timed = F.count(value).over(event)
     return ranked.withColumns(
@@ -103,20 +106,18 @@ def _score_by_window(known, key, value, sizes: GroupSizes, one_task_rows):
     )
 
 
-def _score_by_values(known, key, value, min_event_attempts, sizes, one_task_rows):
-    stats = known.groupBy(key).agg(
+def _score_by_values(rows, key, value, sizes, one_task_rows):
+    ranked = with_rank(
+        rows, "percentile", value, [key], "percent", one_task_rows=one_task_rows, sizes=sizes
+    )
+    stats = rows.groupBy(key).agg(
         F.count(F.lit(1)).alias("__attempts"),
         F.count(value).alias("event_timed"),
         F.avg(value).alias("__mean"),
         F.stddev_samp(value).alias("__sd"),
     )
-    stats = settle(stats.filter(F.col("__attempts") >= min_event_attempts))
-    eligible = lookup(known, stats, [key], how="inner")
     z = _z(value, F.col("__mean"), F.col("__sd"), F.col("event_timed"))
-    scored = eligible.withColumn("z", z).drop("__attempts", "__mean", "__sd")
-    return with_rank(
-        scored, "percentile", value, [key], "percent", one_task_rows=one_task_rows, sizes=sizes
-    )
+    return lookup(ranked, stats, [key]).withColumn("z", z).drop("__mean", "__sd")
 
 
 def rankings(

@@ -9,7 +9,7 @@ import heatsheet as hs
 from heatsheet.operators.ordering import quantiles, running_before, with_position, with_rank
 
 METHODS = ["min", "dense", "average", "percent"]
-SMALL = 200  # rows one task may order: fewer than the hot group has
+SMALL = 300  # rows one task may order: fewer than the hot group has, more than the others
 
 
 @pytest.fixture(scope="module")
@@ -55,10 +55,18 @@ def test_running_sums(skewed, by):
     )
 
 
-def test_split_way_sends_no_group_to_one_task(skewed):
+def test_only_the_hot_group_is_split(skewed):
+    sizes = {r.key: r["count"] for r in skewed.groupBy("key").count().collect()}
+    assert [k for k, n in sizes.items() if n > SMALL] == ["hot"]
     split = with_position(skewed, "p", [F.col("id")], ["key"], one_task_rows=SMALL)
     plan = split._jdf.queryExecution().optimizedPlan().toString()
-    assert "__part" in plan.split("windowspecdefinition(")[1].split(",")[0]
+    assert "Join LeftAnti" in plan
+    windows = [line for line in plan.splitlines() if "windowspecdefinition(" in line]
+    assert sum("windowspecdefinition(__part" in line for line in windows) == 1
+    placed = [path for path in split.inputFiles()]
+    assert len(placed) > 1
+    whole = with_position(skewed, "p", [F.col("id")], [], one_task_rows=SMALL)
+    assert "Join LeftAnti" not in whole._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_quantiles_against_pandas(skewed):
