@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clock
 from ..operators.filters import for_event
 from ..operators.joins import lookup
-from ..operators.ordering import quantiles, running_before, with_position
+from ..operators.ordering import by_size, quantiles, running_before, with_position
 from ..settings import DENSITY_MAX_HOURS, DENSITY_POINTS, ONE_TASK_ROWS
 from ..sources.scratch import settle
 from .profiles import population_pct
@@ -79,10 +79,25 @@ def performance_curve(
         "full_event", "entry_id", "name", "time_text", "date", "ppm", "rank", "seconds"
     )
     order = [F.col("seconds").asc_nulls_last(), F.col("entry_id")]
-    placed = with_position(rows, "__place", order, ["full_event"], one_task_rows)
-    sizes = rows.groupBy("full_event").agg(F.count(F.lit(1)).alias("__rows"))
+    key = ["full_event"]
+
+    def small(part):
+        event = Window.partitionBy(*key)
+        return part.withColumns(
+            {
+                "__place": F.row_number().over(event.orderBy(*order)).cast("bigint"),
+                "__rows": F.count(F.lit(1)).over(event),
+            }
+        )
+
+    def large(part, sizes):
+        placed = with_position(part, "__place", order, key, one_task_rows, sizes)
+        counts = part.groupBy(*key).agg(F.count(F.lit(1)).alias("__rows"))
+        return lookup(placed, counts, key)
+
+    placed = by_size(rows, key, one_task_rows, None, small, large)
     step = F.try_divide((F.col("__place") - 1).cast("double"), F.col("__rows") - 1)
-    return lookup(placed, sizes, ["full_event"]).select(
+    return placed.select(
         *rows.columns,
         clock.hours(F.col("seconds")).alias("hours"),
         (1 - F.coalesce(step, F.lit(0.0))).alias("performance"),

@@ -37,7 +37,10 @@ _READINGS: dict[str, tuple[str, Callable[[Column], Column]]] = {
     "rating_in": ("rating_in", measures.to_number),
     "rating_out": ("rating_out", measures.to_number),
     "event_strength_rating": ("event_strength", measures.to_number),
-    "rolling_12mo_avg_completion_time": ("avg_12m_text", clock.format_hms),
+    "rolling_12mo_avg_completion_time": (
+        "avg_12m_text",
+        lambda c: clock.format_hms(measures.to_number(c)),
+    ),
 }
 
 

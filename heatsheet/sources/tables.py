@@ -30,7 +30,7 @@ def load_tables(
 
     ``base`` is a folder holding one path per table, named by ``layout``, or None for
     catalog tables.
-    Text formats are read with the declared schema of the table, if there is one.
+    CSV columns go by their header and stay text; the builders read numbers and dates.
     A table that is missing fails at once, unless it is listed in ``optional``:
     then the problem is logged and an empty frame with the declared schema returned.
     """
@@ -49,9 +49,9 @@ def load_tables(
 def _open(spark, base, name, format, layout, options):
     if base is None:
         return spark.table(name)
+    if format == "csv":
+        options = {"header": True, **options}
     reader = spark.read.format(format).options(**options)
-    if format in ("csv", "json") and name in S.SOURCES and "inferSchema" not in options:
-        reader = reader.schema(S.SOURCES[name])
     return reader.load(f"{base.rstrip('/')}/{layout.format(name=name)}")
 
 

@@ -21,13 +21,39 @@ def test_load_tables_is_strict_unless_optional(spark, tmp_path, caplog):
 
 
 def test_load_tables_from_text_and_catalog(spark, tmp_path):
-    (tmp_path / "competitors.csv").write_text("competitor_id,display_name\n007,Ann\n")
-    read = hs.load_tables(
-        spark, str(tmp_path), ["competitors"], format="csv", layout="{name}.csv", header="true"
-    )["competitors"]
-    assert [tuple(r) for r in read.collect()] == [("007", "Ann")]
+    (tmp_path / "competitors.csv").write_text("display_name,competitor_id\nAnn,007\n")
+    read = hs.load_tables(spark, str(tmp_path), ["competitors"], format="csv", layout="{name}.csv")
+    read = read["competitors"]
+    assert read.first().asDict() == {"display_name": "Ann", "competitor_id": "007"}
     read.createOrReplaceTempView("competitors")
     assert hs.load_tables(spark, None, ["competitors"])["competitors"].count() == 1
+    with pytest.raises(AnalysisException):
+        hs.load_tables(spark, None, ["no_such_table"])
+
+
+def test_fact_from_text_tables_and_a_missing_one(spark, tmp_path):
+    texts = {
+        "competition_entries": (
+            "rank_in_competition,entry_id,competition_id,completion_time_seconds,pieces_value,"
+            "remaining_value,time_value\n1,e1,c1,3600,500,,1:00:00\n"
+        ),
+        "competitions": (
+            "competition_date,competition_id,competition_name,source_tab_name,"
+            "event_strength_rating\n2024-01-05,c1,Open,one,1.5\n"
+        ),
+        "entry_competitors": "competitor_id,entry_id\np1,e1\n",
+        "competitors": "display_name,competitor_id\nAnn,p1\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    tables = hs.load_tables(
+        spark, str(tmp_path), texts, ["player_event_metrics"], "csv", "{name}.csv"
+    )
+    fact = hs.build_results(tables)
+    assert fact.schema == schema.RESULTS
+    one = fact.first()
+    assert (one.name, one.date.isoformat(), one.seconds, one.ppm) == ("Ann", "2024-01-05", 3600, 500 / 60)
+    assert (one.rank, one.event_strength, one.latest_rating, one.total_events) == (1, 1.5, None, 1)
 
 
 def test_fact_round_trip_keeps_one_size_class(spark, tmp_path):
@@ -81,3 +107,14 @@ def test_settled_tables_live_in_the_shared_folder(spark):
     assert all(folder in path for path in kept.inputFiles())
     shared = spark.conf.get("spark.checkpoint.dir", None)
     assert shared is None or folder.startswith(shared)
+
+
+def test_year_filter_and_columns_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    rows = facts(spark, [{"name": "A", "date": f"2024-0{m}-01", "entry_id": m} for m in range(1, 9)])
+    hs.write_results(rows, path, cluster_by=["date", "entry_id"])
+    recent = hs.trailing(hs.load_results(spark, path), "2024-08-01", months=2)
+    plan = recent.groupBy("name").count()._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(date,2024-06-01)" in plan
+    assert "ReadSchema: struct<name:string,date:date,pieces:double>" in plan
+    assert recent.count() == 3
