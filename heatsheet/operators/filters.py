@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import lookup
+from .joins import lookup_figures
 
 
 def latest_date(df: DataFrame) -> Column:
@@ -20,7 +20,9 @@ def as_day(value: date | str | Column) -> Column:
     return value if isinstance(value, Column) else F.lit(value).cast("date")
 
 
-def trailing(df: DataFrame, as_of: date | str | Column | None = None, months: int = 12) -> DataFrame:
+def trailing(
+    df: DataFrame, as_of: date | str | Column | None = None, months: int = 12
+) -> DataFrame:
     """Rows of the last ``months`` up to ``as_of``, by default the frame's newest date."""
     end = latest_date(df) if as_of is None else as_day(as_of)
     return df.filter(F.col("date") >= F.add_months(end, -months))
@@ -30,7 +32,7 @@ def trailing_per_key(df: DataFrame, key: str, days: int) -> DataFrame:
     """Rows at most ``days`` older than the newest row of the same key."""
     newest = df.groupBy(key).agg(F.max("date").alias("__newest"))
     return (
-        lookup(df, newest, [key])
+        lookup_figures(df, newest, [key])
         .filter(F.date_diff("__newest", "date") <= days)
         .drop("__newest")
     )
@@ -44,7 +46,7 @@ def as_of_snapshot(df: DataFrame, months: int = 1) -> DataFrame:
 def having_count(df: DataFrame, key: str, n: int) -> DataFrame:
     """Rows whose key occurs at least ``n`` times; a NULL key drops out."""
     frequent = df.groupBy(key).count().filter(F.col("count") >= n).select(key)
-    return df.join(frequent, key, "left_semi").select(*df.columns)
+    return lookup_figures(df, frequent, [key], how="left_semi")
 
 
 def for_competitor(df: DataFrame, name: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""One left join for all lookups."""
+"""One join for all lookups."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import settle
+
 
 def lookup(
     rows: DataFrame,
@@ -18,10 +20,8 @@ def lookup(
 ) -> DataFrame:
     """Join the columns of ``table`` to ``rows`` on equally named keys.
 
-    Left unhinted on purpose: Spark broadcasts the table when its measured size
-    allows, and otherwise splits a skewed key of ``rows`` at run time, which it can do for
-    a left join.
-    With ``null_safe`` a missing key matches a missing key.
+    Left unhinted on purpose: Spark decides by size whether to broadcast the table. With
+    ``null_safe`` a missing key matches a missing key.
     """
     renamed = table.select(
         *[F.col(c).alias(f"__{c}" if c in on else c) for c in table.columns]
@@ -32,3 +32,20 @@ def lookup(
     ]
     joined = rows.join(renamed, reduce(and_, equal), how)
     return joined.drop(*[f"__{c}" for c in on])
+
+
+def lookup_figures(
+    rows: DataFrame,
+    table: DataFrame,
+    on: list[str],
+    null_safe: bool = False,
+    how: str = "left",
+) -> DataFrame:
+    """``lookup`` of figures per key, where a key may have any number of rows.
+
+    The table is settled first. A small one is then broadcast by its real size. With a
+    large one, both sides of the join come straight from a shuffle, and only then does
+    Spark split a skewed key of ``rows`` at run time: an aggregate between the shuffle and
+    the join would forbid it.
+    """
+    return lookup(rows, settle(table), on, null_safe, how)

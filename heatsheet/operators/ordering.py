@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import MAX_RANGE_PARTS, ONE_TASK_ROWS
-from ..sources.scratch import settle
-from .joins import lookup
+from ..scratch import settle
+from .joins import lookup, lookup_figures
 
 _START, _NOW = Window.unboundedPreceding, Window.currentRow
 
@@ -216,12 +216,12 @@ def _rank_by_values(df, out, value, by, method, descending, one_task_rows):
     if method == "percent":
         known = counts.groupBy(*by).agg(F.sum("n").alias("__known"))
         if by:
-            ahead = lookup(ahead, known, by, null_safe=True)
+            ahead = lookup_figures(ahead, known, by, null_safe=True)
             rank = average / F.col("__known") * 100
         else:
             rank = average / F.lit(known.first()[0] or 0) * 100
     ranks = ahead.select(*by, value, rank.alias(out))
-    return lookup(df, ranks, [*by, value], null_safe=True)
+    return lookup_figures(df, ranks, [*by, value], null_safe=True)
 
 
 def value_counts(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -261,7 +261,7 @@ def _quantiles_by_values(df, value, probabilities, by, one_task_rows):
         counts, {"__ahead": F.col("n")}, [_directed(value, False)], by, one_task_rows
     )
     known = counts.groupBy(*by).agg(F.sum("n").alias("__known"))
-    placed = lookup(ahead, known, by, null_safe=True)
+    placed = lookup_figures(ahead, known, by, null_safe=True)
 
     def at(offset: Column) -> Column:
         inside = (F.col("__ahead") <= offset) & (offset < F.col("__ahead") + F.col("n"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import day_label
 from ..settings import AVERAGE_DAYS, LABEL_LETTERS, ONE_TASK_ROWS
-from .joins import lookup
+from .joins import lookup_figures
 from .ordering import running_before
 
 _START, _NOW = Window.unboundedPreceding, Window.currentRow
@@ -64,7 +64,7 @@ def timeline(
         [key, date],
         one_task_rows,
     )
-    rows = lookup(inside, placed, [key, date])
+    rows = lookup_figures(inside, placed, [key, date])
 
     total = F.col("__prior_sum") + F.col("__peer_sum") + amount
     count = F.col("__prior_known") + F.col("__peer_known") + known

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..operators.filters import for_event
-from ..operators.joins import lookup
+from ..operators.joins import lookup, lookup_figures
 from ..operators.ordering import by_size, quantiles, running_before, with_position
 from ..settings import DENSITY_MAX_HOURS, DENSITY_POINTS, ONE_TASK_ROWS
-from ..sources.scratch import settle
+from ..scratch import settle
 from .profiles import population_pct
 
 
@@ -93,7 +93,7 @@ def performance_curve(
     def large(part, sizes):
         placed = with_position(part, "__place", order, key, one_task_rows, sizes)
         counts = part.groupBy(*key).agg(F.count(F.lit(1)).alias("__rows"))
-        return lookup(placed, counts, key)
+        return lookup_figures(placed, counts, key)
 
     placed = by_size(rows, key, one_task_rows, None, small, large)
     step = F.try_divide((F.col("__place") - 1).cast("double"), F.col("__rows") - 1)

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, measures
 from ..operators.filters import for_competitor, split_bad_names, trailing_per_key
-from ..operators.joins import lookup
+from ..operators.joins import lookup, lookup_figures
 from ..operators.ordering import GroupSizes, with_rank
 from ..operators.timeline import timeline
 from ..settings import ONE_TASK_ROWS, SERIES_DAYS
-from ..sources.scratch import settle
+from ..scratch import settle
 
 
 def _named(df: DataFrame, name: str | None = None) -> DataFrame:
@@ -140,7 +140,7 @@ def event_entries(df: DataFrame) -> DataFrame:
 
 def with_entrants(rows: DataFrame, df: DataFrame) -> DataFrame:
     """Add the number of named rows of each row's event; NULL for an unknown event."""
-    return lookup(rows, event_entries(df), ["full_event"])
+    return lookup_figures(rows, event_entries(df), ["full_event"])
 
 
 def competitor_series(
@@ -199,7 +199,7 @@ def event_detail(
     )
     if name is not None:
         own = for_competitor(own, name)
-    rows = lookup(own.select("name", "full_event", "own_seconds"), events, ["full_event"])
+    rows = lookup_figures(own.select("name", "full_event", "own_seconds"), events, ["full_event"])
     return rows.select(
         "*",
         clock.format_timedelta(F.col("fastest")).alias("fastest_text"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.filters import as_day, trailing
-from ..operators.joins import lookup
+from ..operators.joins import lookup, lookup_figures
 from ..operators.ordering import (
     by_size,
     group_sizes,
@@ -19,7 +19,7 @@ from ..operators.ordering import (
     with_rank,
 )
 from ..settings import ONE_TASK_ROWS, RANK_PLACES
-from ..sources.scratch import settle
+from ..scratch import settle
 
 
 def event_stats(
@@ -117,7 +117,7 @@ def _score_by_values(rows, key, value, sizes, one_task_rows):
         F.stddev_samp(value).alias("__sd"),
     )
     z = _z(value, F.col("__mean"), F.col("__sd"), F.col("event_timed"))
-    return lookup(ranked, stats, [key]).withColumn("z", z).drop("__mean", "__sd")
+    return lookup_figures(ranked, stats, [key]).withColumn("z", z).drop("__mean", "__sd")
 
 
 def rankings(
@@ -156,7 +156,9 @@ def rankings(
         rank_columns += ["weighted_z_rank", "weighted_percentile_rank"]
 
     pairs = df.select("name", "total_events", "latest_rating").distinct()
-    listed = settle(lookup(people, pairs, ["name"]))
+    # Every ranked name has a pair. An inner join may be split on either side, should one name
+    # stand for very many people.
+    listed = settle(lookup_figures(people, pairs, ["name"], how="inner"))
     sizes = group_sizes(listed, [])
     rating_order = [F.col("latest_rating").asc_nulls_last(), F.col("name"), F.col("total_events")]
     listed = with_position(listed, "rating_rank", rating_order, [], one_task_rows, sizes)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import clock, measures
-from ..operators.joins import lookup
+from ..operators.joins import lookup, lookup_figures
 from ..operators.ordering import with_rank
 from ..settings import ONE_TASK_ROWS
-from ..sources.scratch import settle
+from ..scratch import settle
 from ..sources.sheets import drop_if_present, tag_source
 
 _IDS = ("entry_id", "competitor_id")
@@ -115,7 +115,7 @@ def with_competitor_totals(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_events"),
         F.max_by("rating_out", rated).alias("latest_rating"),
     )
-    return lookup(rows, totals, ["competitor_id"])
+    return lookup_figures(rows, totals, ["competitor_id"])
 
 
 def repair_ranks(

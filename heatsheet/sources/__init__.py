@@ -1,4 +1,4 @@
-from .scratch import discard, settle
+from ..scratch import discard, settle
 from .sheets import drop_if_present, tag_source, union_sources
 from .tables import (
     load_rankings,

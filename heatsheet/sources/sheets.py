@@ -10,7 +10,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import lookup
+from ..operators.joins import lookup_figures
 
 
 def union_sources(
@@ -70,7 +70,7 @@ def tag_source(
     Afterwards ``event`` is the source name and ``full_event`` the title.
     """
     titles = df.groupBy(source_col).agg(F.min_by(title_col, order_col).alias("full_event"))
-    tagged = lookup(df.drop("full_event"), titles, [source_col])
+    tagged = lookup_figures(df.drop("full_event"), titles, [source_col])
     return tagged.withColumn("event", F.col(source_col))
 
 

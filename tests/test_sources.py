@@ -5,7 +5,7 @@ from pyspark.errors import AnalysisException
 
 import heatsheet as hs
 from heatsheet import schema
-from heatsheet.sources import scratch
+from heatsheet import scratch
 from helpers import facts, listed
 
 
