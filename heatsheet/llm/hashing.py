@@ -14,8 +14,8 @@ _MIX1, _MIX2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111E
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Bits of a filter: 16 MB, whatever the data. More fingerprints only let more pass.
-FILTER_BITS = 1 << 27
+#: Bits of a filter: 8 MB, whatever the data. More fingerprints only let more pass.
+FILTER_BITS = 1 << 26
 _PAGE_BITS = 1 << 15
 
 

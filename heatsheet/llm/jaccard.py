@@ -220,6 +220,12 @@ def unpack(packed: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
+def shared_share(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each entry, in thousandths, how much of its set's prefix others list too."""
+    keys, where, count = np.unique(key, return_inverse=True, return_counts=True)
+    return (1000 * count[where] // np.maximum(1, prefix(n))).astype(np.int32)
+
+
 def _light_links(texts: DataFrame, most: int) -> DataFrame:
     """Links between light classes by shared subsets of the size that a link requires.
 
@@ -285,10 +291,12 @@ def join_classes(docs: DataFrame, found: DataFrame, common: int = COMMON, bits:
                 sets = Sets(_texts(part), last)
                 h, key, n, at = sets.listed(seen.new(sets, least))
                 ok = np.flatnonzero(passes(several, h))
-                yield as_long(h[ok]), key[ok], n[ok].astype(np.int32), at[ok].astype(np.int32)
+                yield as_long(h[ok]), key[ok], n[ok].astype(np.int32), at[ok].astype(np.int32), shared_share(key[ok], n[ok])
 
-        entries = settle(map_columns(texts, columns, "h long, key long, n int, at int").distinct())
-        pivots = entries.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("key", "n", "at")).alias("p")).filter("many > 1")
+        entries = settle(map_columns(texts, columns, "h long, key long, n int, at int, share int").distinct())
+        # a list's centre is the set that shares most of what it lists: the original of edited copies
+        centre = F.max(F.struct("share", "key", "n", "at")).alias("p")
+        pivots = entries.groupBy("h").agg(F.count(F.lit(1)).alias("many"), centre).filter("many > 1")
         listed = entries.join(pivots, "h").filter("key <> p.key")
         first = settle(
             listed.filter(_may_link(F.col("n"), F.col("at"), F.col("p.n"), F.col("p.at"))).select(*_pair(F.col("key"), F.col("p.key"))).distinct()
