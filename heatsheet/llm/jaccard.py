@@ -35,6 +35,11 @@ SHINGLE = 5
 THRESHOLD, PART = 75, 100
 #: Shingles listed more often than this come last in the order.
 COMMON = 32
+COUNTED_BITS = np.uint64((1 << 40) - 1)
+#: Lists longer than this are dealt out to several tasks; each part has a centre of its own.
+LONG, PARTS = 10_000, 64
+#: Components known so far, up to which they are sent to every task.
+SENT_ROWS = 1_000_000
 #: Sizes that may enumerate subsets.
 MOST_LIGHT = 16
 #: Writing, counting and meeting one list entry, in units of one enumerated subset.
@@ -132,14 +137,17 @@ def _texts(part: list[tuple]) -> list[bytes]:
 
 
 def _counted(texts: DataFrame, least: int, common: np.ndarray | None) -> DataFrame:
-    """h, n: how many sets list a shingle (copies in other tasks count again)."""
+    """h, n: how many sets list a shingle (copies in other tasks count again).
+
+    Only filters are made of this, so 40 bits of a fingerprint do and halve what is shuffled.
+    """
     shipped = texts.sparkSession.sparkContext.broadcast(common)
 
     def columns(source: Iterator[tuple]) -> Iterator[tuple]:
         seen, held, size = Seen(), [], 0
         for part in chunks(source):
             sets = Sets(_texts(part), shipped.value)
-            held.append(sets.listed(seen.new(sets, least))[0])
+            held.append(sets.listed(seen.new(sets, least))[0] & COUNTED_BITS)
             size += len(held[-1])
             if size > 2_000_000:
                 found, n = np.unique(np.concatenate(held), return_counts=True)
@@ -270,7 +278,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return map_columns(docs.select("doc_id", F.col("text").cast("binary").alias("text")), columns, f"doc_id {kind}, n_shingles long, key long")
 
 
-def join_classes(docs: DataFrame, found: DataFrame, common: int = COMMON, bits: int = FILTER_BITS) -> DataFrame:
+def join_classes(docs: DataFrame, found: DataFrame, common: int = COMMON, bits: int = FILTER_BITS, long: int = LONG) -> DataFrame:
     """key, component: classes of equal sets that links connect, for classes with a link."""
     spark = docs.sparkSession
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("text").cast("binary").alias("text"))
@@ -279,38 +287,58 @@ def join_classes(docs: DataFrame, found: DataFrame, common: int = COMMON, bits:
     # lists hold the heavy sets and the light ones that may link with them
     least = -(-THRESHOLD * (most + 1) // PART)
     often, _ = make_filter(spark, _counted(texts, least, None).filter(F.col("n") > common), bits=bits)
-    repeated, any_ = make_filter(spark, _counted(texts, least, often).filter("n > 1"), bits=bits)
+    counts = settle(_counted(texts, least, often).filter("n > 1"))
+    repeated, any_ = make_filter(spark, counts, bits=bits)
     links = settle(_light_links(texts, most)) if most else None
     if any_:
-        shipped = spark.sparkContext.broadcast((often, repeated))
+        long_, _ = make_filter(spark, counts.filter(F.col("n") > long), bits=bits)
+        shipped = spark.sparkContext.broadcast((often, repeated, long_ if long_.any() else None))
 
         def columns(source: Iterator[tuple]) -> Iterator[tuple]:
-            last, several = shipped.value
+            last, several, split = shipped.value
             seen = Seen()
             for part in chunks(source):
                 sets = Sets(_texts(part), last)
                 h, key, n, at = sets.listed(seen.new(sets, least))
                 ok = np.flatnonzero(passes(several, h))
-                yield as_long(h[ok]), key[ok], n[ok].astype(np.int32), at[ok].astype(np.int32), shared_share(key[ok], n[ok])
-
-        entries = settle(map_columns(texts, columns, "h long, key long, n int, at int, share int").distinct())
+                h, key, n, at = h[ok], key[ok], n[ok], at[ok]
+                parted = np.zeros(len(h), bool) if split is None else passes(split, h)
+                yield as_long(h), np.where(parted, key % PARTS, 0).astype(np.int32), parted, key, n.astype(np.int32), at.astype(np.int32), shared_share(key, n)
+
+        # one exchange serves the removal of repeats, the centres and the join with them
+        on = ["h", "salt"]
+        entries = map_columns(texts, columns, "h long, salt int, parted boolean, key long, n int, at int, share int").repartition(*on)
+        entries = entries.dropDuplicates(["h", "salt", "key"])
         # a list's centre is the set that shares most of what it lists: the original of edited copies
         centre = F.max(F.struct("share", "key", "n", "at")).alias("p")
-        pivots = entries.groupBy("h").agg(F.count(F.lit(1)).alias("many"), centre).filter("many > 1")
-        listed = entries.join(pivots, "h").filter("key <> p.key")
-        first = settle(
-            listed.filter(_may_link(F.col("n"), F.col("at"), F.col("p.n"), F.col("p.at"))).select(*_pair(F.col("key"), F.col("p.key"))).distinct()
+        centres = entries.groupBy(*on).agg(centre, F.count(F.lit(1)).alias("many"), F.first("parted").alias("parted")).filter("many > 1 or parted")
+        listed = settle(
+            entries.drop("parted").join(centres.hint("merge"), on).select("h", "key", "n", "at", "parted", F.col("p.key").alias("p_key"), F.col("p.n").alias("p_n"), F.col("p.at").alias("p_at"))
+        )
+        near = _may_link(F.col("n"), F.col("at"), F.col("p_n"), F.col("p_at"))
+        first = listed.filter((F.col("key") != F.col("p_key")) & near).select(*_pair(F.col("key"), F.col("p_key")))
+        listed = listed.withColumn("c_key", F.col("p_key"))
+        if long_.any():
+            # the centres of a list's parts are compared with one of them, which is the list's centre
+            parts = listed.filter("parted").select("h", "p_key").distinct()
+            tops = settle(parts.groupBy("h").agg(F.max("p_key").alias("top")))
+            first = first.unionByName(parts.join(tops, "h").filter("p_key <> top").select(*_pair(F.col("p_key"), F.col("top"))))
+            listed = settle(listed.join(tops, "h", "left").withColumn("c_key", F.coalesce("top", "p_key")).drop("top"))
+        first = settle(first.distinct())
+        found_links = settle(_verified(texts, first, bits))
+        links = found_links if links is None else settle(links.unionByName(found_links))
+        joined = settle(components(links))
+        joined = F.broadcast(joined) if joined.limit(SENT_ROWS + 1).count() <= SENT_ROWS else joined
+        labelled = listed.join(joined.select(F.col("node").alias("key"), "component"), "key", "left").join(
+            joined.select(F.col("node").alias("c_key"), F.col("component").alias("main")), "c_key", "left"
+        )
+        labelled = labelled.select(
+            "h", "key", "n", "at", F.coalesce("component", "key").alias("component"), F.coalesce("main", "c_key").alias("main")
         )
-        near = settle(_verified(texts, first, bits))
-        links = near if links is None else settle(links.unionByName(near))
-        joined = components(links)
-        labelled = entries.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        labelled = settle(labelled.join(pivots.select("h"), "h", "left_semi"))
-        groups = labelled.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"))
-        largest = groups.groupBy("h").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-        apart = labelled.join(largest.select("h", F.col("m.component").alias("main")), "h")
-        x, y = apart.filter("component <> main").alias("x"), apart.alias("y")
-        across = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.key") < F.col("y.key")))
+        # pairs across components: one side is outside the centre's, so a group of copies is not paired with itself
+        x, y = labelled.filter("component <> main").alias("x"), labelled.alias("y")
+        outside = F.col("y.component") != F.col("y.main")
+        across = (F.col("x.component") != F.col("y.component")) & (~outside | (F.col("x.key") < F.col("y.key")))
         second = x.join(y, (F.col("x.h") == F.col("y.h")) & across & _may_link(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
         second = settle(second.select(*_pair(F.col("x.key"), F.col("y.key"))).distinct().join(first, ["a", "b"], "left_anti"))
         links = settle(links.unionByName(_verified(texts, second, bits)))
@@ -319,7 +347,7 @@ def join_classes(docs: DataFrame, found: DataFrame, common: int = COMMON, bits:
     return components(links).withColumnRenamed("node", "key")
 
 
-def near_duplicates(docs: DataFrame, common: int = COMMON, bits: int = FILTER_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, common: int = COMMON, bits: int = FILTER_BITS, long: int = LONG) -> DataFrame:
     """doc_id, n_shingles, component_id, set_key for every row of ``docs``.
 
     A text's set has its distinct shingles of five words, lower-cased in A-Z; a text with
@@ -330,7 +358,7 @@ def near_duplicates(docs: DataFrame, common: int = COMMON, bits: int = FILTER_BI
     which 40 bits when intersections are counted).
     """
     found = settle(shingle_sets(docs))
-    joined = join_classes(docs, found, common, bits)
+    joined = join_classes(docs, found, common, bits, long)
     keyed = found.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     keyed = settle(keyed.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key")))
     least = keyed.groupBy("component").agg(F.min("least").alias("component_id"))
