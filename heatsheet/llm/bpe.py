@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .text import map_rows, text_bytes
 
 #: Pre-tokens whose codes a task remembers. The memory is emptied when full.
-REMEMBERED = 200_000
+REMEMBERED = 40_000
 #: Pre-tokens longer than this are encoded anew each time.
 REMEMBERED_BYTES = 64
 UNKNOWN = "⁇unknown"
