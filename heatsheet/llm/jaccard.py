@@ -372,17 +372,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of linked rows, with all its columns: that of the least id.
 
     Rows without words are kept. Of rows that share the least id, the one with the least
-    text is kept, and one of those that are alike. Rows without an id, when their group has
-    no row with one, count as having the least id.
+    text is kept, and one of those that are alike. A row without an id counts as having an
+    id before all others that follows from its text.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"))
-    # a row's set tells rows of one id apart; the text moves only with the rows that may stay
-    stays = groups.filter("n_shingles > 0 and doc_id <=> component_id").select(F.col("doc_id").alias("__id"), F.col("set_key").alias("__key"))
-    stays = stays.distinct()
-    empty = docs.filter(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    full = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    ids = stays.select("__id").distinct()
-    chosen = full.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    order = F.struct("text", *[F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, AtomicType)])
-    return empty.unionByName(chosen.groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(row, order).alias("r")).select("r.*"))
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1) - F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    groups = near_duplicates(docs.select(own.alias("doc_id"), "text"))
+    ids = groups.filter("n_shingles > 0 and doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    order = F.struct("text", *[F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, AtomicType)]).alias("__order")
+    # the texts move once: rows met by their id lie as the choice among rows of one id needs them
+    chosen = docs.filter(wordy).select(row, order, own.alias("__id")).join(ids, "__id", "left_semi")
+    chosen = chosen.groupBy("__id").agg(F.min_by("__row", "__order").alias("r")).select("r.*")
+    return docs.filter(~wordy).unionByName(chosen)
