@@ -125,12 +125,7 @@ def _op8() -> str:
       list_sum(list_transform(list_zip({p}, {q}), lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END
         + CASE WHEN z[2] > 0 THEN z[2] * log2(2 * z[2] / (z[1] + z[2])) ELSE 0 END)) / 2"""
     distance = "sqrt(least(1.0, greatest(0.0, " + divergence + ")))"
-    shares = "list_transform({}, lambda x: CAST(x AS DOUBLE) / list_sum({}))"
-    by_class = distance.format(p=shares.format("f.classes", "f.classes"), q=shares.format("r.classes", "r.classes"))
-    own = "list_transform(k.common, lambda c: coalesce(f.short[c], 0))"
-    by_word = distance.format(
-        p=f"list_transform(list_append({own}, f.n_words - list_sum({own})), lambda x: CAST(x AS DOUBLE) / f.n_words)", q="k.shares"
-    )
+    by_class, by_word = distance.format(p="cp", q="cq"), distance.format(p="wp", q="wq")
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, lang, text IS NOT NULL AS known, coalesce(text, '') AS t FROM documents
@@ -164,11 +159,19 @@ WITH d AS (
   SELECT per_lang.lang, classes, common, shares FROM per_lang JOIN k USING (lang) WHERE all_words > 0
 ), ff AS (
   SELECT f.*, bags.short FROM f LEFT JOIN bags USING (row)
+), own AS MATERIALIZED (
+  SELECT f.row, f.points, f.n_words, f.classes, r.classes AS all_classes, r.shares AS wq,
+         list_transform(r.common, lambda c: coalesce(f.short[c], 0)) AS own
+  FROM ff f CROSS JOIN r
+), shared AS MATERIALIZED (
+  SELECT row, points, n_words, wq, list_transform(classes, lambda x: CAST(x AS DOUBLE) / points) AS cp,
+         list_transform(all_classes, lambda x: CAST(x AS DOUBLE) / list_sum(all_classes)) AS cq,
+         list_transform(list_append(own, n_words - list_sum(own)), lambda x: CAST(x AS DOUBLE) / n_words) AS wp
+  FROM own
 ), near AS (
-  SELECT f.row,
-         min(CASE WHEN f.points >= {rules.min_chars} THEN {by_class} END) AS class_distance,
-         min(CASE WHEN f.n_words >= {rules.min_words} THEN {by_word.replace("k.", "r.")} END) AS word_distance
-  FROM ff f CROSS JOIN r GROUP BY f.row
+  SELECT row, min(CASE WHEN points >= {rules.min_chars} THEN {by_class} END) AS class_distance,
+         min(CASE WHEN n_words >= {rules.min_words} THEN {by_word} END) AS word_distance
+  FROM shared GROUP BY row
 ), starts AS (
   SELECT row, words, unnest(range(1, len(words) - 3)) AS i FROM w
 ), windows AS (
