@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import heatsheet as hs
 from heatsheet.functions import clock, measures
+from heatsheet.settings import SEARCH_MAX_SECONDS
 from heatsheet.sources.tables import size_class
 
 from . import binding
@@ -138,7 +139,7 @@ def _regulars(rows):
 
 def _positions(rows):
     order = [F.col("corrected_time").asc_nulls_last(), F.col("entry_id")]
-    keyed = rows.filter(F.col("name").isNotNull()).select("entry_id", "corrected_time")
+    keyed = rows.select("entry_id", "corrected_time")
     return hs.with_position(keyed, "position", order)
 
 
@@ -211,6 +212,7 @@ def queries() -> dict[str, Query]:
         "medal_long": _on_results(lambda rows: hs.medal_long(hs.top_medalists(rows))),
         # time search
         "latest_state": _on_results(hs.latest_state),
-        "time_search": _on_results(hs.time_search),
+        "time_search": _on_results(lambda rows: hs.time_search(rows, hi=SEARCH_MAX_SECONDS)),
+        "time_search_all": _on_results(hs.time_search),
         "time_search_counts": _on_results(lambda rows: hs.time_search_counts(rows, 5400, 9000)),
     }

@@ -505,7 +505,7 @@ def oracle_sql() -> dict[str, str]:
                   WHERE k >= 8 AND date IS NOT NULL)
             SELECT entry_id, name, date FROM d WHERE date_diff('day', date, newest) <= 547""",
         "positions": f"""WITH {FACT} SELECT entry_id, round(corrected_time, 6) AS corrected_time,
-            row_number() OVER (ORDER BY g.corrected_time ASC NULLS LAST, entry_id) AS position FROM good g""",
+            row_number() OVER (ORDER BY g.corrected_time ASC NULLS LAST, entry_id) AS position FROM r g""",
         "event_overview": f"""WITH {FACT}, e AS (
               SELECT full_event, count(DISTINCT name) AS entrants,
                      count(DISTINCT name) + CAST(count(*) > count(name) AS BIGINT)
@@ -575,6 +575,8 @@ def oracle_sql() -> dict[str, str]:
             ORDER BY attempts DESC, name LIMIT 20""",
         "time_search": f"""WITH {FACT}, {STATE} SELECT name, avg_12m_text, total_events, full_event,
             date, pace_seconds FROM paces WHERE pace_seconds <= 10800""",
+        "time_search_all": f"""WITH {FACT}, {STATE} SELECT name, avg_12m_text, total_events, full_event,
+            date, pace_seconds FROM paces""",
         "latest_state": f"""WITH {FACT}, {STATE} SELECT name, date, full_event, total_events,
             avg_12m_text FROM state""",
         "time_search_counts": f"""WITH {FACT}, {STATE} SELECT

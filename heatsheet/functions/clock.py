@@ -10,6 +10,13 @@ _PART = r"\s*[+-]?\d+\s*"
 _THREE_PARTS = f"^{_PART}:{_PART}:{_PART}$"
 _TWO_PARTS = f"^{_PART}:{_PART}$"
 
+_ISO_START = r"^[+-]?\d{4,}(-|$)"
+_DAY_FORMATS = {
+    r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
+    r"^[A-Za-z]{3} \d{1,2}, \d{4}$": "MMM d, yyyy",
+    r"^\d{1,2} [A-Za-z]{3} \d{4}$": "d MMM yyyy",
+}
+
 # The shape is tested first, because a failing cast of text is slow. Parts are cut with
 # substring_index, which needs neither a regular expression nor an array.
 
@@ -87,8 +94,15 @@ def hours(seconds: Column) -> Column:
 
 
 def to_day(value: Column) -> Column:
-    """A date from a date, a timestamp or text; NULL for what cannot be read."""
-    return F.try_to_timestamp(value.cast("string")).cast("date")
+    """A date from a date, a timestamp or text; NULL for what cannot be read.
+
+    Text is ISO, or has one of ``_DAY_FORMATS``; the month comes first in ``8/11/2025``.
+    """
+    text = F.btrim(value.cast("string"))
+    day = F.when(text.rlike(_ISO_START), F.try_to_timestamp(text).cast("date"))
+    for shape, layout in _DAY_FORMATS.items():
+        day = day.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout)).cast("date"))
+    return day
 
 
 def day_label(day: Column) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..settings import FULL_PIECES
 
+# The shapes of a clock time and of a number in text.
 _CLOCK_SHAPE = r"^\d{1,2}:\d{2}:\d{2}$"
+_NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def ppm(pieces: Column, remaining: Column, seconds: Column) -> Column:
@@ -30,7 +32,9 @@ def full_size_penalty(remaining: Column, seconds: Column) -> Column:
 
 def to_number(value: Column) -> Column:
     """A number from text or a number; NULL for what cannot be read, NaN and infinities."""
-    number = value.try_cast("double")
+    # a failing cast of text is slow, so its shape is tested first; for other types this folds away
+    readable = (F.typeof(value) != "string") | value.cast("string").rlike(_NUMBER_SHAPE)
+    number = F.when(readable, value.try_cast("double"))
     return F.when(F.abs(number) < float("inf"), number)  # NaN counts as larger than infinity
 
 

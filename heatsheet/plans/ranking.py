@@ -26,13 +26,12 @@ def event_stats(
     df: DataFrame,
     key: str = "event",
     value: str = "corrected_time",
-    approx: bool = False,
     one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Mean, sample deviation, count, median and interquartile range per event.
 
     ``sd_used`` and ``iqr_used`` are 1 where the figure is missing or zero. Quartiles are
-    exact unless ``approx`` is set.
+    exact.
     """
     known = df.filter(F.col(key).isNotNull())
     basic = known.groupBy(key).agg(
@@ -41,12 +40,7 @@ def event_stats(
         F.count(value).alias("timed"),
     )
     wanted = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    if approx:
-        quarters = known.groupBy(key).agg(
-            *[F.percentile_approx(value, p).alias(c) for c, p in wanted.items()]
-        )
-    else:
-        quarters = quantiles(known, value, wanted, [key], one_task_rows)
+    quarters = quantiles(known, value, wanted, [key], one_task_rows)
     iqr = F.col("q3") - F.col("q1")
     return lookup(basic, quarters, [key]).select(
         key,

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import parse_hms_lenient
-from ..settings import SEARCH_MAX_SECONDS
 
 
 def latest_state(df: DataFrame) -> DataFrame:
@@ -30,16 +29,19 @@ def _with_pace(df: DataFrame) -> DataFrame:
     return latest_state(df).withColumn("pace_seconds", pace)
 
 
-def _in_range(lo: int | None, hi: int):
-    upper = F.col("pace_seconds") <= hi
-    return upper if lo is None else upper & (F.col("pace_seconds") >= lo)
+def _in_range(lo: int | None, hi: int | None):
+    inside = F.lit(True)
+    if lo is not None:
+        inside = inside & (F.col("pace_seconds") >= lo)
+    if hi is not None:
+        inside = inside & (F.col("pace_seconds") <= hi)
+    return inside
 
 
-def time_search(df: DataFrame, lo: int | None = None, hi: int = SEARCH_MAX_SECONDS) -> DataFrame:
+def time_search(df: DataFrame, lo: int | None = None, hi: int | None = None) -> DataFrame:
     """Competitors whose 12-month average lies in a range of seconds, fastest first.
 
-    Without ``lo`` the range starts at the smallest average there is. A missing
-    average counts as 0.
+    Without ``lo`` or ``hi`` the range is open at that end. A missing average counts as 0.
     """
     found = _with_pace(df).filter(_in_range(lo, hi))
     return found.select(
@@ -48,7 +50,7 @@ def time_search(df: DataFrame, lo: int | None = None, hi: int = SEARCH_MAX_SECON
 
 
 def time_search_counts(
-    df: DataFrame, lo: int | None = None, hi: int = SEARCH_MAX_SECONDS
+    df: DataFrame, lo: int | None = None, hi: int | None = None
 ) -> DataFrame:
     """"Showing k of n", and the smallest average: one row."""
     return _with_pace(df).agg(

@@ -378,7 +378,8 @@ def test_latest_state_takes_columns_from_different_rows(spark):
 def test_time_search_range(spark):
     texts = {"A": "01:00:00", "B": "03:00:00", "C": "03:00:01", "D": None, "E": "10:00"}
     rows = facts(spark, [{"name": n, "avg_12m_text": t} for n, t in texts.items()])
-    assert [r.name for r in hs.time_search(rows).collect()] == ["D", "E", "A", "B"]
+    assert [r.name for r in hs.time_search(rows).collect()] == ["D", "E", "A", "B", "C"]
+    assert [r.name for r in hs.time_search(rows, hi=10800).collect()] == ["D", "E", "A", "B"]
     assert [r.name for r in hs.time_search(rows, 3600, 10800).collect()] == ["A", "B"]
     counts = hs.time_search_counts(rows, 3600, 10800).first()
     assert tuple(counts) == (2, 5, 0)

@@ -106,3 +106,14 @@ def test_rank_of_total(spark):
 def test_row_mean_skips_missing(spark):
     frame = spark.createDataFrame([(1, 2, 6), (1, None, 4), (None, None, None)], "a int, b int, c int")
     assert [r[0] for r in frame.select(row_mean("a", "b", "c")).collect()] == [3.0, 2.5, None]
+
+
+def test_days_in_other_formats(spark):
+    texts = ["8/11/2025", "Aug 11, 2025", "11 Aug 2025", "13/40/2025", "yesterday", " 2025-08-11 "]
+    day = dt.date(2025, 8, 11)
+    assert evaluate(spark, TEXT, texts, clock.to_day) == [day, day, day, None, None, day]
+
+
+def test_numbers_in_other_shapes(spark):
+    texts = ["-1.5e3", " 7 ", ".5", "5.", "1:00:00", "", "0x10"]
+    assert evaluate(spark, TEXT, texts, measures.to_number) == [-1500, 7, 0.5, 5, None, None, None]
