@@ -8,7 +8,7 @@ ranks are put in on purpose.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import heatsheet as hs
@@ -99,11 +99,17 @@ def build_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.conform(rows, schema.RESULTS, keep_types=("entry_id", "competitor_id"))
 
 
+def _unmatched(key: str, every: int) -> Column:
+    """The key, negative where it divides by ``every``, so that nothing matches it."""
+    return F.when(F.col(key) % every == 0, -F.col(key)).otherwise(F.col(key))
+
+
 def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Five source tables from line items, orders and customers.
 
     An entry is an order; its team is one member per line number; some entries have no
-    team, some competitors no name and some no metrics.
+    team, some competitors no name and some no metrics. Every row is in: keys that shall not
+    match are changed.
     """
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
@@ -125,21 +131,20 @@ def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         ),
         (F.col("o_orderkey") % 50).alias("rank_in_competition"),
     )
-    competitions = orders.filter(F.month("o_orderdate") != 2).groupBy(
-        month.alias("competition_id")
-    ).agg(
+    held = F.when(F.month("o_orderdate") == 2, F.concat(F.lit("-"), month)).otherwise(month)
+    competitions = orders.groupBy(held.alias("competition_id")).agg(
         F.concat(F.lit("Open "), F.max(month)).alias("competition_name"),
         F.max(month).alias("source_tab_name"),
         F.concat(F.max(month), F.lit("-15")).alias("competition_date"),
         F.round(F.avg("o_totalprice") / 100000, 4).alias("event_strength_rating"),
         F.lit("x").alias("last_updated_timestamp"),
     )
-    bridge = lines.filter(F.col("l_orderkey") % 19 != 0).select(
-        F.col("l_orderkey").alias("entry_id"), member, F.lit("solver").alias("role_in_entry"),
+    bridge = lines.select(
+        _unmatched("l_orderkey", 19).alias("entry_id"), member, F.lit("solver").alias("role_in_entry"),
         F.lit("x").alias("load_timestamp"),
     ).distinct()
-    competitors = customers.filter(F.col("c_custkey") % 13 != 0).select(
-        F.col("c_custkey").alias("competitor_id"), F.col("c_name").alias("display_name")
+    competitors = customers.select(
+        _unmatched("c_custkey", 13).alias("competitor_id"), F.col("c_name").alias("display_name")
     )
     metrics = (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
@@ -152,7 +157,7 @@ def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             F.lit(None).cast("date").alias("competition_date"),
             F.lit(-1).alias("rank_in_competition"),
         )
-        .filter(F.col("competitor_id") % 11 != 0)
+        .withColumn("competitor_id", _unmatched("competitor_id", 11))
     )
     return {
         "competition_entries": entries,

@@ -241,24 +241,27 @@ STAR = f"""WITH entries AS (
          CAST(o_orderkey % 50 AS INT) AS rank
   FROM orders
 ), competitions AS (
-  SELECT strftime(o_orderdate, '%Y-%m') AS competition_id,
+  SELECT concat(CASE WHEN month(o_orderdate) = 2 THEN '-' END, strftime(o_orderdate, '%Y-%m')) AS competition_id,
          concat('Open ', strftime(max(o_orderdate), '%Y-%m')) AS full_event,
          strftime(max(o_orderdate), '%Y-%m') AS event,
          CAST(concat(strftime(max(o_orderdate), '%Y-%m'), '-15') AS DATE) AS date,
          round(avg(o_totalprice) / 100000, 4) AS event_strength
-  FROM orders WHERE month(o_orderdate) <> 2 GROUP BY 1
+  FROM orders GROUP BY 1
 ), bridge AS (
-  SELECT DISTINCT l_orderkey AS entry_id, l_suppkey * 7 + l_linenumber AS competitor_id
-  FROM lineitem WHERE l_orderkey % 19 <> 0
+  SELECT DISTINCT CASE WHEN l_orderkey % 19 = 0 THEN -l_orderkey ELSE l_orderkey END AS entry_id,
+         l_suppkey * 7 + l_linenumber AS competitor_id
+  FROM lineitem
 ), competitors AS (
-  SELECT c_custkey AS competitor_id, c_name AS name FROM customer WHERE c_custkey % 13 <> 0
+  SELECT CASE WHEN c_custkey % 13 = 0 THEN -c_custkey ELSE c_custkey END AS competitor_id,
+         c_name AS name FROM customer
 ), metrics AS (
-  SELECT l_suppkey * 7 + l_linenumber AS competitor_id,
+  SELECT CASE WHEN (l_suppkey * 7 + l_linenumber) % 11 = 0 THEN -(l_suppkey * 7 + l_linenumber)
+              ELSE l_suppkey * 7 + l_linenumber END AS competitor_id,
          strftime(o_orderdate, '%Y-%m') AS competition_id,
          max(l_quantity) AS rating_in, min(l_quantity) AS rating_out,
          max(l_extendedprice) AS pace
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  GROUP BY 1, 2 HAVING (l_suppkey * 7 + l_linenumber) % 11 <> 0
+  GROUP BY 1, 2
 ), joined AS (
   SELECT e.entry_id, b.competitor_id, e.competition_id, name, event, full_event, date, time_text,
          seconds, pieces, remaining, rank, rating_in, rating_out, event_strength, pace,
