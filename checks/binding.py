@@ -191,6 +191,15 @@ def sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
         F.when(key % 43 == 0, F.lit("five hundred"))
         .otherwise(F.col("pieces").cast("bigint").cast("string"))
         .alias("pieces"),
+        F.when(key % 3 == 0, F.date_format("date", "M/d/yyyy"))
+        .when(key % 3 == 1, F.date_format("date", "MMM d, yyyy"))
+        .otherwise(F.date_format("date", "yyyy-MM-dd"))
+        .alias("Date"),
+        (key % 50).cast("string").alias("Rank"),
+        (key % 7 + 0.5).cast("string").alias("PPM"),
+        (key % 10).cast("string").alias("Rating In"),
+        (key % 9).cast("string").alias("Event Strength"),
+        clock_text.alias("12-Month Avg Completion Time"),
         F.lit("junk").alias("unnamed_11"),
     )
     event_ratings = rows.filter(F.col("name").isNotNull()).groupBy("event", "name").agg(

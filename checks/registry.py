@@ -58,7 +58,7 @@ def _build_from_sheets(spark, sf_dir):
         built.select(
             "entry_id", "name", "event", "full_event", "time_text", "seconds", "pieces",
             "remaining", "time_penalty", "corrected_time", "rating_out", "latest_rating",
-            "total_events",
+            "total_events", "date", "rank", "ppm", "rating_in", "event_strength", "avg_12m_text",
         )
     )
 

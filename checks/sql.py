@@ -307,6 +307,9 @@ SHEETS = f"""WITH {ATTEMPTS}, titles AS (
               WHEN b.entry_id % 37 = 0 THEN 'DNF' ELSE {clock('seconds')} END AS time_text,
          CASE WHEN b.entry_id % 31 = 0 OR b.entry_id % 37 = 0 THEN NULL ELSE seconds END AS seconds,
          CASE WHEN b.entry_id % 43 = 0 THEN NULL ELSE pieces END AS pieces,
+         b.date, CAST(b.entry_id % 50 AS INT) AS rank, CAST(b.entry_id % 7 + 0.5 AS DOUBLE) AS ppm,
+         CAST(b.entry_id % 10 AS DOUBLE) AS rating_in, CAST(b.entry_id % 9 AS DOUBLE) AS event_strength,
+         {clock('seconds')} AS avg_12m_text,
          CASE WHEN b.entry_id % 29 = 0 THEN 0 WHEN b.entry_id % 31 = 0 THEN 0 ELSE remaining END
            AS remaining
   FROM base b JOIN titles t ON b.event = t.event
@@ -322,7 +325,8 @@ SHEETS = f"""WITH {ATTEMPTS}, titles AS (
 SELECT entry_id, p.name, p.event, p.full_event, time_text, seconds, pieces,
        CAST(remaining AS DOUBLE) AS remaining, round(time_penalty, 6) AS time_penalty,
        round(time_penalty + seconds, 6) AS corrected_time, rating_out,
-       latest_rating, CAST(total_events AS BIGINT) AS total_events
+       latest_rating, CAST(total_events AS BIGINT) AS total_events, date, rank, ppm, rating_in,
+       event_strength, avg_12m_text
 FROM penalties p
 LEFT JOIN event_ratings e ON p.event = e.event AND p.name = e.name
 LEFT JOIN latest l ON p.name = l.name"""

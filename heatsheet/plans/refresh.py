@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -150,7 +151,21 @@ SHEET_HEADERS = {
     "Event Name": "full_event",
     "Player Name": "name",
     "Player": "name",
+    "12-Month Avg Completion Time": "avg_12m_text",
 }
+# Columns of a sheet that the fact is made from without holding them.
+_SHEET_ONLY = frozenset(["source", "row_no", "time"])
+
+
+def _named(frame: DataFrame, headers: dict[str, str], junk: Iterable[str]) -> DataFrame:
+    """A sheet under the names of the fact; a column that has no place there is an error."""
+    frame = drop_if_present(frame, *junk)
+    known = {*S.RESULTS.fieldNames(), *_SHEET_ONLY}
+    plain = {c: re.sub(r"\W+", "_", c.strip()).lower() for c in frame.columns}
+    names = {c: headers.get(c, plain[c]) for c in frame.columns}
+    if unknown := [c for c, name in names.items() if name not in known]:
+        raise ValueError(f"no fact column for {', '.join(unknown)}: map it in headers or list it as junk")
+    return frame.withColumnsRenamed(names)
 
 
 def build_results_from_sheets(
@@ -165,15 +180,16 @@ def build_results_from_sheets(
 
     ``sheets`` has source, row_no, event (the title in each row), name, time, remaining and
     pieces, and may bring further fact columns. ``event_ratings`` is keyed by full_event and
-    name, ``latest_ratings`` by name. ``headers`` renames further columns of the three to
-    fact columns. Penalties assume the full size, whatever the size column says.
+    name, ``latest_ratings`` by name. Headers are read as fact columns in lower case with
+    underscores ("Rating In" is rating_in); ``headers`` renames others, ``junk`` names those
+    to leave out, and any other column is an error. Penalties assume the full size, whatever
+    the size column says.
     """
-    renames = {**SHEET_HEADERS, **(headers or {})}
+    renames, junk = {**SHEET_HEADERS, **(headers or {})}, list(junk)
     sheets, event_ratings, latest_ratings = (
-        frame.withColumnsRenamed({c: renames[c] for c in frame.columns if c in renames})
-        for frame in (sheets, event_ratings, latest_ratings)
+        _named(frame, renames, junk) for frame in (sheets, event_ratings, latest_ratings)
     )
-    rows = drop_if_present(tag_source(sheets), *junk)
+    rows = tag_source(sheets)
     seconds = clock.parse_hms_strict(F.col("time"))
     remaining = measures.clean_remaining(F.col("remaining"))
     rows = rows.withColumns(

@@ -111,3 +111,15 @@ def test_build_from_sheets(spark):
     bob = rows["s1", "Bob"]
     assert (bob.seconds, bob.remaining, bob.pieces, bob.latest_rating) == (None, 0.0, None, None)
     assert rows["s2", "Ann"].rating_out is None and rows["s2", "Ann"].corrected_time == 3000.0
+
+
+def test_sheet_columns_have_a_place_or_are_refused(spark):
+    columns = "source string, row_no int, entry_id int, event string, name string, time string, remaining string, pieces string"
+    row = ("s1", 1, 1, "Title", "Ann", "1:00:00", None, "500")
+    ratings = spark.createDataFrame([], "full_event string, name string, rating_out double")
+    latest = spark.createDataFrame([("Ann", 9.0)], "Player string, latest_rating double")
+    sheet = spark.createDataFrame([(*row, "8.3", "Aug 11, 2025", "x")], columns + ", PPM string, `Date` string, Notes string")
+    with pytest.raises(ValueError, match="Notes"):
+        hs.build_results_from_sheets(sheet, ratings, latest)
+    found = hs.build_results_from_sheets(sheet, ratings, latest, junk=["Notes"]).first()
+    assert (found.ppm, found.date.isoformat()) == (8.3, "2025-08-11")
