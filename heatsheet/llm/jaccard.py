@@ -7,7 +7,9 @@ names the sets with a shingle, and only the shingles that come first in one comm
 are listed, as a link must share one of those. The boundary is where enumerating subsets
 of the sizes that occur would cost more than listing them.
 
-Common shingles come last in the order, so lists are short. Sets alike are one class.
+Common shingles come last in the order, so lists are short: those that many prefixes list,
+and, of sets with a prefix of mostly such ones, the common ones behind it. Sets alike are
+one class.
 Links serve to connect: members of a list are first compared with one of them, the classes
 that are connected by this become one, and only pairs across what is still apart are
 compared next. So a group of near copies costs its size, not the square of it, and no link
@@ -113,6 +115,16 @@ class Sets:
         at = np.flatnonzero(chosen[self.text] & (place < prefix(self.size)[self.text]))
         return self.shingle[at], self.key[self.text[at]], self.size[self.text[at]], place[at]
 
+    def behind(self, texts: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Shingles behind the prefix of those given texts that have a prefix half of common ones."""
+        chosen = np.zeros(len(self.size), bool)
+        chosen[texts] = True
+        front = np.arange(len(self.shingle)) - self.first[self.text] < prefix(self.size)[self.text]
+        at = np.flatnonzero(chosen[self.text] & front)
+        shared = np.bincount(self.text[at], passes(common, self.shingle[at]), len(self.size))
+        chosen &= 2 * shared >= prefix(self.size)
+        return self.shingle[chosen[self.text] & ~front]
+
 
 class Seen:
     """Lets each class through once; forgets when full, which only repeats work."""
@@ -136,9 +148,10 @@ def _texts(part: list[tuple]) -> list[bytes]:
     return [row[-1] or b"" for row in part]
 
 
-def _counted(texts: DataFrame, least: int, common: np.ndarray | None) -> DataFrame:
+def _counted(texts: DataFrame, least: int, common: np.ndarray | None, rest: bool = False) -> DataFrame:
     """h, n: how many sets list a shingle (copies in other tasks count again).
 
+    With ``rest``, how many sets of mostly common prefixes have it behind the prefix.
     Only filters are made of this, so 40 bits of a fingerprint do and halve what is shuffled.
     """
     shipped = texts.sparkSession.sparkContext.broadcast(common)
@@ -146,8 +159,9 @@ def _counted(texts: DataFrame, least: int, common: np.ndarray | None) -> DataFra
     def columns(source: Iterator[tuple]) -> Iterator[tuple]:
         seen, held, size = Seen(), [], 0
         for part in chunks(source):
-            sets = Sets(_texts(part), shipped.value)
-            held.append(sets.listed(seen.new(sets, least))[0] & COUNTED_BITS)
+            sets = Sets(_texts(part), None if rest else shipped.value)
+            new = seen.new(sets, least)
+            held.append((sets.behind(new, shipped.value) if rest else sets.listed(new)[0]) & COUNTED_BITS)
             size += len(held[-1])
             if size > 2_000_000:
                 found, n = np.unique(np.concatenate(held), return_counts=True)
@@ -286,7 +300,10 @@ def join_classes(docs: DataFrame, found: DataFrame, common: int = COMMON, bits:
     most = boundary({r["n_shingles"]: r["n"] for r in small})
     # lists hold the heavy sets and the light ones that may link with them
     least = -(-THRESHOLD * (most + 1) // PART)
-    often, _ = make_filter(spark, _counted(texts, least, None).filter(F.col("n") > common), bits=bits)
+    often, any_ = make_filter(spark, _counted(texts, least, None).filter(F.col("n") > common), bits=bits)
+    if any_:
+        # near copies have more common shingles than the first prefixes show
+        often |= make_filter(spark, _counted(texts, least, often, rest=True).filter(F.col("n") > common), bits=bits)[0]
     counts = settle(_counted(texts, least, often).filter("n > 1"))
     repeated, any_ = make_filter(spark, counts, bits=bits)
     links = settle(_light_links(texts, most)) if most else None
