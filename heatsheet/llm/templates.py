@@ -6,8 +6,10 @@ variable and become ``<*>``. The leaf is the template; tokens beyond the depth a
 variable fields. A template that recurs across documents is boilerplate and its lines go.
 
 Copies of a document repeat all its lines without any of them being boilerplate. A
-recurrence therefore counts by its surroundings: the templates of the lines before and
-after. Boilerplate stands in ever new surroundings, a line of a copied text in the same.
+recurrence therefore counts by what the rest of the document is: boilerplate stands in ever
+new documents, a line of a copied text in the same. The rest is known by a line of middle
+frequency. In a text of its own that is a line that few others have; in copies, edited or
+not, it is a line that the copies share, whatever their edits and the notices they carry.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from ..scratch import settle
 DEPTH = 8
 #: Shorter lines are no templates: they recur by chance.
 MIN_TOKENS = 3
-#: Different surroundings that make a template recurring.
+#: Different documents, by the rest of their lines, that make a template recurring.
 MIN_CONTEXTS = 10
-#: Their least share of all occurrences, in percent.
+#: Their least share of all texts with the template, in percent.
 MIN_SHARE = 60
+#: Texts of fewer different lines do not tell what the rest is: one edit may be half of it.
+MIN_LINES = 3
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -41,33 +45,41 @@ def drop_templates(
 ) -> DataFrame:
     """All rows and columns of ``docs`` with ``text`` less its recurring lines.
 
-    A template recurs when its lines stand in ``min_contexts`` different surroundings or
-    more, and those are ``min_share`` percent of its lines or more. All its lines are dropped, in
+    A template recurs when it stands in ``min_contexts`` different documents or more, and
+    those are ``min_share`` percent of the texts with it or more. All its lines are dropped, in
     every document; the others stay joined by line feeds. A null text stays null; a text
-    that loses all lines becomes empty. Rows alike count as often as they occur and get the
-    same result; ids may be null or repeated. Only built-in functions are used.
+    that loses all lines becomes empty. Rows of equal text count once, whatever their ids,
+    and get the same result. Only built-in functions are used.
 
     Keys of lines, not lines, are shuffled; the text moves once, to meet the line numbers
     that it loses. A template in a third of all rows is one row once tasks have counted.
     """
     own = F.col("text")
     leaves = F.transform(F.split(own, "\n"), lambda line: _leaf(line, depth, min_tokens))
-    keyed = settle(docs.filter(own.isNotNull()).select(F.col("doc_id").alias("id"), F.xxhash64(own).alias("hash"), leaves.alias("leaves")))
-    lines = keyed.select("id", "hash", "leaves", F.posexplode("leaves").alias("at", "leaf")).filter("leaf is not null")
-    around = F.xxhash64(
-        F.coalesce(F.try_element_at("leaves", F.when(F.col("at") > 0, F.col("at"))), F.lit(0)),
-        F.coalesce(F.try_element_at("leaves", F.col("at") + 2), F.lit(0)),
-        F.col("at") == 0, F.col("at") + 1 == F.size("leaves"),
-    )
-    contexts = lines.groupBy("leaf", around.alias("around")).agg(F.count(F.lit(1)).alias("n"))
-    recurring = contexts.groupBy("leaf").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("lines"))
-    recurring = recurring.filter((F.col("contexts") >= min_contexts) & (F.col("contexts") * 100 >= F.col("lines") * min_share))
-    lost = lines.select("leaf", "id", "hash", "at").join(recurring.select("leaf"), "leaf")
-    lost = lost.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash")).agg(F.collect_set("at").alias("__at"))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    keyed = docs.filter(own.isNotNull()).select(F.xxhash64(own).alias("hash"), leaves.alias("leaves"))
+    keyed = settle(keyed.groupBy("hash").agg(F.first("leaves").alias("leaves")))
+    held = keyed.select("hash", F.explode(F.array_distinct("leaves")).alias("leaf")).filter("leaf is not null")
+    shared = settle(held.groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"))
+    # frequencies of one power of two are alike, so that copies name themselves by one line
+    rated = held.join(shared, "leaf", "left").select("hash", "leaf", F.coalesce("texts", F.lit(1)).alias("texts"))
+    entry = F.struct(F.length(F.bin("texts")).alias("rate"), "leaf", "texts")
+    texts = rated.groupBy("hash").agg(F.array_sort(F.collect_list(entry)).alias("e"), F.max("texts").alias("most"))
+    texts = texts.filter((F.size("e") >= MIN_LINES) & (F.col("most") >= min_contexts))
+    middle = F.floor((F.size("e") - 1) / 2).cast("int")
+    first = lambda k: F.slice(F.filter("e", lambda x: x["rate"] == F.get("e", k)["rate"]), 1, 2)
+    texts = texts.select("e", middle.alias("middle"), first(middle).alias("below"), first(middle + 1).alias("above"))
+    votes = texts.select("middle", "below", "above", F.posexplode("e").alias("at", "x")).filter(F.col("x.texts") >= min_contexts)
+    near = F.when(F.col("at") > F.col("middle"), F.col("below")).otherwise(F.col("above"))
+    rest = F.when(near[0]["leaf"] == F.col("x.leaf"), F.get(near, F.lit(1))["leaf"]).otherwise(near[0]["leaf"])
+    contexts = votes.groupBy(F.col("x.leaf").alias("leaf"), rest.alias("rest")).agg(F.max("x.texts").alias("texts"))
+    recurring = contexts.groupBy("leaf").agg(F.count(F.lit(1)).alias("contexts"), F.max("texts").alias("texts"))
+    recurring = settle(recurring.filter((F.col("contexts") >= min_contexts) & (F.col("contexts") * 100 >= F.col("texts") * min_share)).select("leaf"))
+    lines = keyed.select("hash", F.posexplode("leaves").alias("at", "leaf")).filter("leaf is not null")
+    lost = lines.join(recurring, "leaf").groupBy(F.col("hash").alias("__hash")).agg(F.collect_set("at").alias("__at"))
     stay = F.filter(F.split(own, "\n"), lambda line, i: ~F.array_contains("__at", i))
     text = F.when(F.col("__at").isNull(), own).otherwise(F.array_join(stay, "\n"))
-    return docs.join(lost, on, "left").select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    out = docs.join(settle(lost), F.xxhash64(own) == F.col("__hash"), "left")
+    return out.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_figures(docs: DataFrame) -> DataFrame:
