@@ -6,10 +6,10 @@ variable and become ``<*>``. The leaf is the template; tokens beyond the depth a
 variable fields. A template that recurs across documents is boilerplate and its lines go.
 
 Copies of a document repeat all its lines without any of them being boilerplate. A
-recurrence therefore counts by what the rest of the document is: boilerplate stands in ever
-new documents, a line of a copied text in the same. The rest is known by a line of middle
-frequency. In a text of its own that is a line that few others have; in copies, edited or
-not, it is a line that the copies share, whatever their edits and the notices they carry.
+recurrence therefore counts by documents, where copies, edited or not, are one. A document
+is a sketch of its pieces between punctuation marks or line ends. Where two thirds of them
+are in no other text, it is one of its own; else it goes by the most frequent of the pieces
+that are about as frequent as the one at two thirds, which its copies share.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from ..scratch import settle
 DEPTH = 8
 #: Shorter lines are no templates: they recur by chance.
 MIN_TOKENS = 3
-#: Different documents, by the rest of their lines, that make a template recurring.
+#: Different documents that make a template recurring.
 MIN_CONTEXTS = 10
-#: Their least share of all texts with the template, in percent.
+#: Share of the SQL twin alone; here no number of copies brings a template back.
 MIN_SHARE = 60
-#: Texts of fewer different lines do not tell what the rest is: one edit may be half of it.
-MIN_LINES = 3
+#: Pieces that a sketch holds at most, and those without which a text is no document to count.
+SKETCH, MIN_PIECES = 32, 3
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -40,15 +40,35 @@ def _leaf(line: Column, depth: int, min_tokens: int) -> Column:
     return F.when(F.size(tokens) >= min_tokens, F.xxhash64(F.size(tokens), lead))
 
 
+def _sketch(text: Column) -> Column:
+    """The least keys of a text's pieces, each once; case and blanks around them do not matter."""
+    pieces = F.split(F.lower(text), r"[.,;:!?\n\u3001\u3002\uFF01\uFF0C\uFF1A\uFF1B\uFF1F]+")
+    pieces = F.filter(F.transform(pieces, lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
+    return F.slice(F.array_sort(F.array_distinct(F.transform(pieces, lambda x: F.xxhash64(x)))), 1, SKETCH)
+
+
+def _documents(sketches: DataFrame) -> DataFrame:
+    """hash, document: what each text counts as, from its hash and sketch."""
+    held = sketches.filter(F.size("sketch") >= MIN_PIECES).select("hash", F.explode("sketch").alias("piece"))
+    shared = settle(held.groupBy("piece").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"))
+    rated = held.join(shared, "piece", "left").withColumn("texts", F.coalesce("texts", F.lit(1)))
+    entry = F.struct(F.floor(F.length(F.bin("texts")) / 2).alias("rate"), "texts", "piece")
+    n = F.size("e")
+    at = F.greatest(F.floor(n * 2 / 3), F.least(n - 1, F.lit(4))).cast("int")
+    alike = F.filter("e", lambda x: x["rate"] == F.get("e", at)["rate"])
+    texts = rated.groupBy("hash").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    return texts.select("hash", F.element_at(alike, -1)["piece"].alias("document"))
+
+
 def drop_templates(
-    docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_contexts: int = MIN_CONTEXTS, min_share: int = MIN_SHARE
+    docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_contexts: int = MIN_CONTEXTS
 ) -> DataFrame:
     """All rows and columns of ``docs`` with ``text`` less its recurring lines.
 
-    A template recurs when it stands in ``min_contexts`` different documents or more, and
-    those are ``min_share`` percent of the texts with it or more. All its lines are dropped, in
-    every document; the others stay joined by line feeds. A null text stays null; a text
-    that loses all lines becomes empty. Rows of equal text count once, whatever their ids,
+    A template recurs when it stands in ``min_contexts`` different documents or more, whatever
+    the number of copies beside them. All its lines are dropped, in every document; the others stay joined by line feeds. A null text stays null; a text
+    that loses all lines becomes empty. Blank lines and lines of fewer tokens than
+    ``min_tokens`` stay; the latter count in sketches. Rows of equal text count once, whatever their ids,
     and get the same result. Only built-in functions are used.
 
     Keys of lines, not lines, are shuffled; the text moves once, to meet the line numbers
@@ -56,24 +76,14 @@ def drop_templates(
     """
     own = F.col("text")
     leaves = F.transform(F.split(own, "\n"), lambda line: _leaf(line, depth, min_tokens))
-    keyed = docs.filter(own.isNotNull()).select(F.xxhash64(own).alias("hash"), leaves.alias("leaves"))
-    keyed = settle(keyed.groupBy("hash").agg(F.first("leaves").alias("leaves")))
+    keyed = docs.filter(own.isNotNull()).select(F.xxhash64(own).alias("hash"), leaves.alias("leaves"), _sketch(own).alias("sketch"))
+    keyed = settle(keyed.groupBy("hash").agg(F.first("leaves").alias("leaves"), F.first("sketch").alias("sketch")))
     held = keyed.select("hash", F.explode(F.array_distinct("leaves")).alias("leaf")).filter("leaf is not null")
-    shared = settle(held.groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"))
-    # frequencies of one power of two are alike, so that copies name themselves by one line
-    rated = held.join(shared, "leaf", "left").select("hash", "leaf", F.coalesce("texts", F.lit(1)).alias("texts"))
-    entry = F.struct(F.length(F.bin("texts")).alias("rate"), "leaf", "texts")
-    texts = rated.groupBy("hash").agg(F.array_sort(F.collect_list(entry)).alias("e"), F.max("texts").alias("most"))
-    texts = texts.filter((F.size("e") >= MIN_LINES) & (F.col("most") >= min_contexts))
-    middle = F.floor((F.size("e") - 1) / 2).cast("int")
-    first = lambda k: F.slice(F.filter("e", lambda x: x["rate"] == F.get("e", k)["rate"]), 1, 2)
-    texts = texts.select("e", middle.alias("middle"), first(middle).alias("below"), first(middle + 1).alias("above"))
-    votes = texts.select("middle", "below", "above", F.posexplode("e").alias("at", "x")).filter(F.col("x.texts") >= min_contexts)
-    near = F.when(F.col("at") > F.col("middle"), F.col("below")).otherwise(F.col("above"))
-    rest = F.when(near[0]["leaf"] == F.col("x.leaf"), F.get(near, F.lit(1))["leaf"]).otherwise(near[0]["leaf"])
-    contexts = votes.groupBy(F.col("x.leaf").alias("leaf"), rest.alias("rest")).agg(F.max("x.texts").alias("texts"))
-    recurring = contexts.groupBy("leaf").agg(F.count(F.lit(1)).alias("contexts"), F.max("texts").alias("texts"))
-    recurring = settle(recurring.filter((F.col("contexts") >= min_contexts) & (F.col("contexts") * 100 >= F.col("texts") * min_share)).select("leaf"))
+    often = settle(held.groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_contexts).select("leaf"))
+    held = settle(held.join(often, "leaf"))
+    documents = _documents(keyed.join(held.select("hash").distinct(), "hash", "left_semi").select("hash", "sketch"))
+    counted = held.join(documents, "hash").select("leaf", "document").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    recurring = settle(counted.filter(F.col("n") >= min_contexts).select("leaf"))
     lines = keyed.select("hash", F.posexplode("leaves").alias("at", "leaf")).filter("leaf is not null")
     lost = lines.join(recurring, "leaf").groupBy(F.col("hash").alias("__hash")).agg(F.collect_set("at").alias("__at"))
     stay = F.filter(F.split(own, "\n"), lambda line, i: ~F.array_contains("__at", i))

@@ -9,7 +9,7 @@ def word(n):
     return "".join(chr(97 + int(d)) for d in str(n)) + "x"
 
 
-def body(seed, lines=6):
+def body(seed, lines=12):
     return [" ".join(word(seed * 1000 + 10 * i + k) for k in range(5)) for i in range(lines)]
 
 
@@ -36,6 +36,13 @@ def test_block_of_lines_goes(spark):
 
 
 def test_lines_of_edited_copies_stay(spark):
-    rng, one = Random(1), body(77, 12)
+    rng, one = Random(1), body(77, 20)
     copies = [edited(one, rng, 5000 + i) for i in range(300)]
     assert left(spark, copies) == copies
+
+
+def test_copies_do_not_bring_a_template_back(spark):
+    rng, own = Random(2), [body(i) for i in range(1, 16)]
+    notice = "all rights are reserved here"
+    copies = [edited(body(88, 20), rng, 7000 + i) for i in range(300)]
+    assert left(spark, [[notice, *b] for b in own + copies]) == own + copies
