@@ -46,3 +46,9 @@ def test_copies_do_not_bring_a_template_back(spark):
     notice = "all rights are reserved here"
     copies = [edited(body(88, 20), rng, 7000 + i) for i in range(300)]
     assert left(spark, [[notice, *b] for b in own + copies]) == own + copies
+
+
+def test_notice_between_blank_and_short_lines_goes(spark):
+    own = [[f"part {word(i)}", "", f"{word(i)}q also", "", f"see {word(i)}", "", f"with {word(i)}", "", f"for {word(i)}", f"by {word(i)}"] for i in range(1, 31)]
+    texts = [[*t[:2], "this notice recurs all over", *t[1:]] for t in own]
+    assert left(spark, texts) == [[*t[:2], *t[1:]] for t in own]
