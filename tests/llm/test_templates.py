@@ -52,3 +52,9 @@ def test_notice_between_blank_and_short_lines_goes(spark):
     own = [[f"part {word(i)}", "", f"{word(i)}q also", "", f"see {word(i)}", "", f"with {word(i)}", "", f"for {word(i)}", f"by {word(i)}"] for i in range(1, 31)]
     texts = [[*t[:2], "this notice recurs all over", *t[1:]] for t in own]
     assert left(spark, texts) == [[*t[:2], *t[1:]] for t in own]
+
+
+def test_repeats_in_one_text_stay(spark):
+    lines = [x for i, line in enumerate(body(9, 40)) for x in (f"Chapter {i} of the report", line)]
+    texts = [lines, *(body(i) for i in range(10, 13))]
+    assert left(spark, texts) == texts
