@@ -29,6 +29,8 @@ MIN_CONTEXTS = 10
 MIN_SHARE = 60
 #: Pieces that a sketch holds at most, and those without which a text is no document to count.
 SKETCH, MIN_PIECES = 32, 3
+#: Where a piece ends, with the blanks that follow.
+MARKS = r"[.,;:!?\n\u3001\u3002\uFF01\uFF0C\uFF1A\uFF1B\uFF1F][\s.,;:!?\u3001\u3002\uFF01\uFF0C\uFF1A\uFF1B\uFF1F]*"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -41,10 +43,9 @@ def _leaf(line: Column, depth: int, min_tokens: int) -> Column:
 
 
 def _sketch(text: Column) -> Column:
-    """The least keys of a text's pieces, each once; case and blanks around them do not matter."""
-    pieces = F.split(F.lower(text), r"[.,;:!?\n\u3001\u3002\uFF01\uFF0C\uFF1A\uFF1B\uFF1F]+")
-    pieces = F.filter(F.transform(pieces, lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
-    return F.slice(F.array_sort(F.array_distinct(F.transform(pieces, lambda x: F.xxhash64(x)))), 1, SKETCH)
+    """The least keys of a text's pieces, each once; case and blanks after marks do not matter."""
+    keys = F.transform(F.split(F.lower(text), MARKS), lambda x: F.xxhash64(x))
+    return F.slice(F.sort_array(F.array_distinct(F.array_remove(keys, F.xxhash64(F.lit(""))))), 1, SKETCH)
 
 
 def _documents(sketches: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def _documents(sketches: DataFrame) -> DataFrame:
     n = F.size("e")
     at = F.greatest(F.floor(n * 2 / 3), F.least(n - 1, F.lit(4))).cast("int")
     alike = F.filter("e", lambda x: x["rate"] == F.get("e", at)["rate"])
-    texts = rated.groupBy("hash").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    texts = rated.groupBy("hash").agg(F.sort_array(F.collect_list(entry)).alias("e"))
     return texts.select("hash", F.element_at(alike, -1)["piece"].alias("document"))
 
 
