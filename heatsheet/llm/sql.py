@@ -6,6 +6,7 @@ from .quality import CLASSES, Rules
 from .templates import DEPTH, MIN_CONTEXTS, MIN_SHARE, MIN_TOKENS
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOTHING = "sha256('')"
@@ -114,6 +115,29 @@ WITH v AS (
 SELECT * FROM ranked WHERE rank <= 5
 """
 
+OP11 = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), {_TERM}) AS terms FROM documents
+), d AS (
+  SELECT row, doc_id, len(terms) AS n FROM t WHERE len(terms) > 0
+), held AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM t) GROUP BY ALL
+), totals AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_all FROM d
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, totals GROUP BY term
+), asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), {_TERM})) AS term FROM benchmark) GROUP BY ALL
+), scored AS (
+  SELECT item_id, d.row, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_all)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN d USING (row), totals GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+
 
 def _op8() -> str:
     rules = Rules()
@@ -202,5 +226,5 @@ FROM made
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_ngram_jaccard": OP3, "op4_substrings": OP4, "op5_line_templates": OP5, "op6_token_rollup": OP6,
-        "op7_topk": OP7, "op8_quality": _op8(),
+        "op7_topk": OP7, "op8_quality": _op8(), "op11_block_max": OP11,
     }
