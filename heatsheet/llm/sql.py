@@ -138,6 +138,45 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 WHERE rank <= 10
 """
 
+_CRC = """list_reduce(list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(c AS VARCHAR)[i]) AS BIGINT)),
+  lambda x, b: list_reduce(range(8), lambda y, i: xor(y >> 1, (y & 1) * 3988292384), xor(x, b)), CAST(4294967295 AS BIGINT))"""
+
+OP12 = rf"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, n, c - c % 20 AS family, xor({_CRC}, 4294967295) % 4 AS h FROM (SELECT c, count(*) AS n FROM t GROUP BY c)
+), r AS (
+  SELECT v.c, b.p AS d, b.role, b.text FROM convs v JOIN t b ON b.c = v.family AND b.p <= v.h
+  UNION ALL
+  SELECT t.c, p - v.h + least(v.h, coalesce(b.n, 0)), role, text FROM t JOIN convs v USING (c) LEFT JOIN convs b ON b.c = v.family WHERE p > v.h
+), s AS (
+  SELECT c, d, len(regexp_extract_all(text, {_WORD})) AS words,
+         string_agg(sha256(length(role) || ':' || role || text), ',') OVER (PARTITION BY c ORDER BY d) AS prefix
+  FROM r
+  UNION ALL
+  SELECT c, 0, 0, '' FROM convs
+), paths AS (
+  SELECT c, d, words, min(c) OVER (PARTITION BY d, prefix) AS conv, max(d) OVER (PARTITION BY c) AS length FROM s
+), nodes AS (
+  SELECT d, conv, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = length), '')) AS ends_sha256
+  FROM paths GROUP BY d, conv
+), placed AS (
+  SELECT nodes.*, up.conv AS up FROM nodes LEFT JOIN paths up ON up.c = nodes.conv AND up.d = nodes.d - 1
+), counted AS (
+  SELECT placed.*, coalesce(n_children, 0) AS n_children
+  FROM placed LEFT JOIN (SELECT d - 1 AS d, up AS conv, count(*) AS n_children FROM placed GROUP BY ALL) USING (d, conv)
+), below AS (
+  SELECT a.d, a.conv, count(*) FILTER (u.n_children = 0) AS n_leaves, CAST(sum((u.n_convs - 1) * u.words) AS BIGINT) AS saved_tokens
+  FROM counted u JOIN paths a ON a.c = u.conv AND a.d <= u.d GROUP BY ALL
+)
+SELECT conv AS conv_id, CAST(d AS BIGINT) AS depth, up AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM counted JOIN below USING (d, conv)
+"""
+
 
 def _op8() -> str:
     rules = Rules()
@@ -227,4 +266,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_ngram_jaccard": OP3, "op4_substrings": OP4, "op5_line_templates": OP5, "op6_token_rollup": OP6,
         "op7_topk": OP7, "op8_quality": _op8(), "op11_block_max": OP11,
+        "op12_prefix_trie": OP12,
     }
