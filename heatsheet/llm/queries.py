@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, jaccard, langid, lexical, mixing, quality, rollup, substrings, templates, topk, trie
+from . import bpe, html, jaccard, langid, lexical, licenses, mixing, quality, rollup, substrings, templates, topk, trie
 from .text import word_count
 
 
@@ -83,6 +83,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_read(spark, sf_dir, "conversations"))
 
 
+def op13_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,6 +98,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         q.__name__: q
         for q in (
             op1_mixing, op2_language, op3_ngram_jaccard, op4_substrings, op5_line_templates, op6_token_rollup,
-            op7_topk, op8_quality, op9_main_text, op10_byte_bpe, op11_block_max, op12_prefix_trie, pipeline,
+            op7_topk, op8_quality, op9_main_text, op10_byte_bpe, op11_block_max, op12_prefix_trie, op13_license_join, pipeline,
         )
     }

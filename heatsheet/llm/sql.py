@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import licenses
 from .quality import CLASSES, Rules
 from .templates import DEPTH, MIN_CONTEXTS, MIN_SHARE, MIN_TOKENS
 
@@ -178,6 +179,39 @@ FROM counted JOIN below USING (d, conv)
 """
 
 
+def _op13() -> str:
+    step = licenses.stride(licenses.TEMPLATES)
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = ", ".join(f"('{label}', {quoted(sorted(set(licenses.words_of(t))))})" for label, t in licenses.TEMPLATES.items())
+    phrases = ", ".join(f"('{label}', {quoted(licenses.words_of(p))})" for p, label in licenses.PHRASES.items())
+    return rf"""
+WITH t(label, words) AS (VALUES {rows}), p(label, words) AS (VALUES {phrases}),
+w AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{licenses.WORD}') AS words
+  FROM documents
+), each AS (
+  SELECT row, words, unnest(range(1, len(words) + 1)) AS i FROM w
+), places AS (
+  SELECT row, i - 1 AS place, label FROM each JOIN p ON each.words[i] = p.words[1] AND each.words[i:i + len(p.words) - 1] = p.words
+), base AS (
+  SELECT row, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY row
+), blocks AS (
+  SELECT row, words[b * {step} + 1:(b + 2) * {step}] AS words
+  FROM (SELECT row, words, unnest(range(0, greatest(1, CAST(ceil(len(words) / {step}) AS BIGINT) - 1))) AS b FROM w)
+), met AS (
+  SELECT row, label, len(list_intersect(t.words, blocks.words)) / len(t.words) AS share FROM blocks, t
+  WHERE len(list_intersect(t.words, blocks.words)) * 100 >= {licenses.SHARE} * len(t.words)
+), more AS (
+  SELECT row, list(DISTINCT label) AS labels, max(share) AS share FROM met GROUP BY row
+)
+SELECT doc_id, CAST(len(w.words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM w LEFT JOIN base USING (row) LEFT JOIN more USING (row)
+"""
+
+
 def _op8() -> str:
     rules = Rules()
     patterns = ["[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", r"[.,;:?''\"()\-]", r"[#*$%&|<>]"]
@@ -266,5 +300,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_ngram_jaccard": OP3, "op4_substrings": OP4, "op5_line_templates": OP5, "op6_token_rollup": OP6,
         "op7_topk": OP7, "op8_quality": _op8(), "op11_block_max": OP11,
-        "op12_prefix_trie": OP12,
+        "op12_prefix_trie": OP12, "op13_license_join": _op13(),
     }
