@@ -19,12 +19,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import map_rows, text_bytes
-
-#: Pre-tokens whose codes a task remembers. The memory is emptied when full.
-REMEMBERED = 40_000
-#: Pre-tokens longer than this are encoded anew each time.
-REMEMBERED_BYTES = 64
+from .text import chunks, map_rows, text_bytes
+
+#: Pre-tokens of the recent half of what a task remembers.
+REMEMBERED = 60_000
+#: Pre-tokens longer than this are encoded anew in each chunk.
+REMEMBERED_LETTERS = 64
+#: Bytes of texts whose new pre-tokens are encoded together.
+CHUNK = 1 << 18
 UNKNOWN = "⁇unknown"
 
 
@@ -81,46 +83,61 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 
 @dataclass
 class Codec:
-    """Encodes and decodes inside one task."""
+    """Encodes and decodes inside one task.
+
+    Pre-tokens that are not remembered are encoded together, one call for those of many
+    texts. What is remembered has two ages: when the recent half is full, it becomes the
+    older one, and what is met again is taken over; so the frequent ones always stay.
+    """
 
     ranks: dict[bytes, int]
     pattern: str
     model: bytes
-    known: dict[bytes, tuple[list[int], str, bytes]] = field(default_factory=dict)
+    recent: tuple[dict[str, str], dict[str, bytes]] = field(default_factory=lambda: ({}, {}))
+    older: tuple[dict[str, str], dict[str, bytes]] = field(default_factory=lambda: ({}, {}))
 
     def __post_init__(self) -> None:
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=self.model)
         self.split = regex.compile(self.pattern).findall
         self.shown = {b: c for b, c in enumerate(byte_characters())}
-        self.bytes_of = {rank: entry for entry, rank in self.ranks.items()}
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token. A pre-token that is an entry itself is that entry."""
-        if (rank := self.ranks.get(piece)) is not None:
-            return [rank]
-        return self.processor.encode(piece.decode("latin-1").translate(self.shown), num_threads=1)
+        self.bytes_of = [entry for entry, _ in sorted(self.ranks.items(), key=lambda e: e[1])]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def _piece(self, piece: str) -> tuple[list[int], str, bytes]:
-        raw = piece.encode()
-        ids = self.encode_piece(raw)
-        made = ids, ",".join(map(str, ids)), self.decode(ids)
-        if len(raw) <= REMEMBERED_BYTES:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = made
-        return made
-
-    def codes(self, text: str) -> Iterator[tuple[list[int], str, bytes]]:
-        """For each pre-token: ids, ids as text, decoded bytes."""
-        get = self.known.get
-        for piece in self.split(text):
-            yield get(piece) or self._piece(piece)
+    def ids_of(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each pre-token. A pre-token that is an entry itself is that entry."""
+        raw = [piece.encode() for piece in pieces]
+        out = [[rank] if (rank := self.ranks.get(r)) is not None else None for r in raw]
+        open_ = [i for i, ids in enumerate(out) if ids is None]
+        shown = [raw[i].decode("latin-1").translate(self.shown) for i in open_]
+        for i, ids in zip(open_, self.processor.encode(shown, num_threads=1) if shown else (), strict=True):
+            out[i] = ids
+        return out
+
+    def codes(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """For each text: its ids as text, and the bytes that they decode to."""
+        split = [self.split(text) for text in texts]
+        (shown, raw), (old_shown, old_raw) = self.recent, self.older
+        new = []
+        for piece in set().union(*split).difference(shown):
+            if piece in old_shown:
+                shown[piece], raw[piece] = old_shown[piece], old_raw[piece]
+            else:
+                new.append(piece)
+        for piece, ids in zip(new, self.ids_of(new), strict=True):
+            shown[piece], raw[piece] = ",".join(map(str, ids)), self.decode(ids)
+        for pieces in split:
+            yield ",".join(map(shown.__getitem__, pieces)), b"".join(map(raw.__getitem__, pieces))
+        for piece in new:
+            if len(piece) > REMEMBERED_LETTERS:
+                del shown[piece], raw[piece]
+        if len(shown) >= REMEMBERED:
+            self.recent, self.older = ({}, {}), self.recent
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self.codes(text) for i in ids]
+        ((ids, _),) = self.codes([text])
+        return [int(i) for i in ids.split(",")] if ids else []
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
@@ -138,13 +155,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: boo
     def rows(source: Iterator[tuple]) -> Iterator[tuple]:
         table, proto = shipped.value
         codec = Codec(table, pattern, proto)
-        for doc_id, raw in source:
-            made = list(codec.codes((raw or b"").decode("utf-8", "replace")))
-            n = sum(len(m[0]) for m in made)
-            ids = hashlib.sha256(",".join([m[1] for m in made]).encode()).hexdigest()
-            decoded = hashlib.sha256(b"".join([m[2] for m in made])).hexdigest()
-            out = (doc_id, n, ids, decoded)
-            yield (*out, [i for m in made for i in m[0]]) if with_ids else out
+        for part in chunks(source, CHUNK):
+            texts = [(raw or b"").decode("utf-8", "replace") for _, raw in part]
+            for (doc_id, _), (ids, decoded) in zip(part, codec.codes(texts), strict=True):
+                n = ids.count(",") + 1 if ids else 0
+                out = (doc_id, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                yield (*out, [int(i) for i in ids.split(",")] if ids else []) if with_ids else out
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return map_rows(text_bytes(docs, "doc_id"), rows, schema + (", ids array<int>" if with_ids else ""))
