@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import heatsheet as hs
 from heatsheet import schema
-from heatsheet.functions import clock
+from heatsheet.functions import clock, measures
 from heatsheet.operators.joins import lookup
 from heatsheet.plans.refresh import with_competitor_totals, with_measures
 from heatsheet.sources.tables import size_class
@@ -54,6 +54,11 @@ def build_ranking(rows: DataFrame, min_attempts=3, min_event_attempts=10, weight
     return hs.rankings(rows, hs.latest_date(rows), min_attempts, min_event_attempts, weighted)
 
 
+def _half_seconds() -> Column:
+    """A time with a fraction, from the price of an order."""
+    return F.floor(F.col("o_totalprice") / 25 * 2) / F.lit(2.0)
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
@@ -74,7 +79,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 10 == 9, F.lit(1000.0))
         .otherwise(F.lit(500.0))
         .alias("pieces"),
-        F.when(key % 53 != 0, F.floor(F.col("o_totalprice") / 25)).alias("seconds"),
+        F.when(key % 53 != 0, _half_seconds()).alias("seconds"),
         F.when(F.col("o_orderstatus") == "P", (key % 120).cast("double"))
         .otherwise(F.lit(0.0))
         .alias("remaining"),
@@ -89,10 +94,10 @@ def build_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_competitor_totals(ranked.withColumn("rank", rank))
 
     daily = rows.filter(F.col("date").isNotNull()).groupBy("competitor_id", "date").agg(
-        F.sum("seconds").alias("sum"), F.count("seconds").alias("known")
+        measures.exact_sum(F.col("seconds")).alias("sum"), F.count("seconds").alias("known")
     )
     year = Window.partitionBy("competitor_id").orderBy(F.unix_date("date")).rangeBetween(-364, 0)
-    average = F.try_divide(F.sum("sum").over(year).cast("double"), F.sum("known").over(year))
+    average = F.try_divide(F.sum("sum").over(year), F.sum("known").over(year))
     paces = daily.select("competitor_id", "date", clock.format_hms(average).alias("avg_12m_text"))
     rows = lookup(rows, paces, ["competitor_id", "date"])
     rows = rows.withColumn("time_text", clock.format_hms(F.col("seconds")))
@@ -122,9 +127,7 @@ def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.lit(2).alias("competition_team_size"),
         F.lit("x").alias("load_timestamp"),
         clock.format_hms(F.floor(F.col("o_totalprice") / 25)).alias("time_value"),
-        F.when(F.col("o_orderkey") % 53 != 0, F.floor(F.col("o_totalprice") / 25)).alias(
-            "completion_time_seconds"
-        ),
+        F.when(F.col("o_orderkey") % 53 != 0, _half_seconds()).alias("completion_time_seconds"),
         F.lit("500").alias("pieces_value"),
         F.when(F.col("o_orderstatus") == "P", (F.col("o_orderkey") % 120).cast("string")).alias(
             "remaining_value"

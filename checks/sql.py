@@ -44,7 +44,7 @@ base AS (
               WHEN o_orderkey % 10 = 9 THEN CAST(1000 AS DOUBLE)
               ELSE CAST(500 AS DOUBLE) END AS pieces,
          CASE WHEN o_orderkey % 53 = 0 THEN NULL
-              ELSE CAST(floor(o_totalprice / 25) AS BIGINT) END AS seconds,
+              ELSE floor(o_totalprice / 25 * 2) / 2 END AS seconds,
          CASE WHEN o_orderstatus = 'P' THEN CAST(o_orderkey % 120 AS DOUBLE)
               ELSE CAST(0 AS DOUBLE) END AS remaining,
          CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE o_totalprice / 100000 END AS rating_out
@@ -234,7 +234,7 @@ def _first_dates(key: str, out: str) -> str:
 STAR = f"""WITH entries AS (
   SELECT o_orderkey AS entry_id, strftime(o_orderdate, '%Y-%m') AS competition_id,
          {hms('o_totalprice / 25')} AS time_text,
-         CASE WHEN o_orderkey % 53 <> 0 THEN CAST(floor(o_totalprice / 25) AS BIGINT) END AS seconds,
+         CASE WHEN o_orderkey % 53 <> 0 THEN floor(o_totalprice / 25 * 2) / 2 END AS seconds,
          CAST(500 AS DOUBLE) AS pieces,
          CASE WHEN o_orderstatus = 'P' THEN CAST(o_orderkey % 120 AS DOUBLE)
               ELSE CAST(0 AS DOUBLE) END AS remaining,
@@ -305,7 +305,7 @@ SHEETS = f"""WITH {ATTEMPTS}, titles AS (
   SELECT b.entry_id, b.name, b.event, t.full_event, seconds AS s, remaining AS rem,
          CASE WHEN b.entry_id % 31 = 0 THEN substr({clock('seconds')}, 4, 5)
               WHEN b.entry_id % 37 = 0 THEN 'DNF' ELSE {clock('seconds')} END AS time_text,
-         CASE WHEN b.entry_id % 31 = 0 OR b.entry_id % 37 = 0 THEN NULL ELSE seconds END AS seconds,
+         CASE WHEN b.entry_id % 31 = 0 OR b.entry_id % 37 = 0 THEN NULL ELSE floor(seconds) END AS seconds,
          CASE WHEN b.entry_id % 43 = 0 THEN NULL ELSE pieces END AS pieces,
          b.date, CAST(b.entry_id % 50 AS INT) AS rank, CAST(b.entry_id % 7 + 0.5 AS DOUBLE) AS ppm,
          CAST(b.entry_id % 10 AS DOUBLE) AS rating_in, CAST(b.entry_id % 9 AS DOUBLE) AS event_strength,
@@ -560,7 +560,7 @@ def oracle_sql() -> dict[str, str]:
     }
 
     kpis = """count(DISTINCT full_event) AS events, count(DISTINCT name) AS competitors,
-      count(*) AS attempts, CAST(coalesce(sum(seconds), 0) AS BIGINT) AS seconds,
+      count(*) AS attempts, CAST(coalesce(sum(CAST(seconds AS DECIMAL(18, 6))), 0) AS DOUBLE) AS seconds,
       coalesce(sum(pieces), 0) AS pieces"""
     figures_list = ["events", "competitors", "attempts", "seconds", "pieces"]
     before = ", ".join(f"b.{c} AS {c}_before" for c in figures_list)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..settings import FULL_PIECES
 
+_MICROS = 1_000_000.0
+
 # The shapes of a clock time and of a number in text.
 _CLOCK_SHAPE = r"^\d{1,2}:\d{2}:\d{2}$"
 _NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -30,6 +32,31 @@ def full_size_penalty(remaining: Column, seconds: Column) -> Column:
     return time_penalty(F.lit(FULL_PIECES), remaining, seconds)
 
 
+def micros(seconds: Column) -> Column:
+    """Whole microseconds, rounded: sums of them do not depend on the order of merging."""
+    return F.round(seconds.cast("double") * _MICROS).try_cast("bigint")
+
+
+def exact_sum(seconds: Column) -> Column:
+    """Sum of times to the microsecond, the same however the rows are spread.
+
+    Whole seconds and the rest are summed apart, so neither sum runs out of 64 bits.
+    """
+    seconds = seconds.cast("double")
+    whole = F.floor(seconds)
+    rest = F.round((seconds - whole) * _MICROS).cast("bigint")
+    return F.sum(whole) + F.sum(rest) / F.lit(_MICROS)
+
+
+def exact_mean(seconds: Column) -> Column:
+    return F.try_divide(exact_sum(seconds), F.count(seconds))
+
+
+def exact_total(sums: Column) -> Column:
+    """Seconds of sums of ``micros``, summed further."""
+    return F.sum(sums.cast("decimal(38,0)")).cast("double") / F.lit(_MICROS)
+
+
 def to_number(value: Column) -> Column:
     """A number from text or a number; NULL for what cannot be read, NaN and infinities."""
     # a failing cast of text is slow, so its shape is tested first; for other types this folds away

@@ -230,6 +230,32 @@ def value_counts(df: DataFrame, value: str, by: list[str] | None = None) -> Data
     return settle(known.groupBy(*(by or []), value).agg(F.count(F.lit(1)).alias("n")))
 
 
+def with_percent_ranks(
+    df: DataFrame,
+    columns: dict[str, str],
+    one_task_rows: int = ONE_TASK_ROWS,
+    sizes: GroupSizes | None = None,
+) -> DataFrame:
+    """Add percentiles of several columns among all rows: ``columns`` maps a column to its new one.
+
+    The ranks are those of ``with_rank(method="percent")``. All columns are turned into one
+    table of (column, value), counted and ordered together, so the number of exchanges does
+    not depend on the number of columns. Numbers are compared as doubles.
+    """
+    pairs = [F.struct(F.lit(c).alias("__column"), F.col(c).cast("double").alias("__value")) for c in columns]
+    stacked = df.select(F.inline(F.array(*pairs)))
+    counts = value_counts(stacked, "__value", ["__column"])
+    order = [F.col("__value").asc()]
+    ahead = running_before(counts, {"__ahead": F.col("n")}, order, ["__column"], one_task_rows, sizes)
+    known = counts.groupBy("__column").agg(F.sum("n").alias("__known"))
+    percent = (F.col("__ahead") + (F.col("n") + 1) / F.lit(2.0)) / F.col("__known") * 100
+    ranks = settle(lookup(ahead, F.broadcast(known), ["__column"]).select("__column", "__value", percent.alias("__percent")))
+    for column, out in columns.items():
+        own = ranks.filter(F.col("__column") == column).select("__value", F.col("__percent").alias(out))
+        df = lookup(df.withColumn("__value", F.col(column).cast("double")), own, ["__value"]).drop("__value")
+    return df
+
+
 def quantiles(
     df: DataFrame,
     value: str,
@@ -237,55 +263,73 @@ def quantiles(
     by: list[str],
     one_task_rows: int = ONE_TASK_ROWS,
     sizes: GroupSizes | None = None,
+    beside: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Exact quantiles per group, interpolated linearly between neighbouring values.
 
-    ``percentile`` holds all distinct values of a group in one task. For groups beyond
-    ``one_task_rows`` the same values are picked by running counts instead.
+    ``percentile`` holds all distinct values of a group in one task. Groups beyond
+    ``one_task_rows`` are read twice instead: for a histogram, and for the values of the few
+    bins that hold the wanted places. ``beside`` are further aggregates of the group, which
+    for small groups come out of the same aggregation.
     """
+    beside = beside or {}
+    more = [e.alias(c) for c, e in beside.items()]
 
     def small(rows):
-        return rows.groupBy(*by).agg(
-            *[F.percentile(value, F.lit(float(p))).alias(c) for c, p in probabilities.items()]
-        )
+        every = F.percentile(value, list(map(float, probabilities.values()))).alias("__all")
+        found = rows.groupBy(*by).agg(*more, every)
+        return found.select(*by, *beside, *[F.get("__all", F.lit(i)).alias(c) for i, c in enumerate(probabilities)])
 
     def large(rows, _):
-        return _quantiles_by_values(rows, value, probabilities, by, one_task_rows)
+        picked = _quantiles_by_histogram(rows, value, probabilities, by, one_task_rows)
+        every = rows.groupBy(*by).agg(*more, F.count(F.lit(1)).alias("__rows"))
+        picked = lookup_figures(every, picked, by, null_safe=True)
+        return picked.select(*by, *beside, *probabilities)
 
     return by_size(df, by, one_task_rows, sizes, small, large)
 
 
-def _quantiles_by_values(df, value, probabilities, by, one_task_rows):
-    counts = value_counts(df, value, by)
-    ahead = running_before(
-        counts, {"__ahead": F.col("n")}, [_directed(value, False)], by, one_task_rows
-    )
-    known = counts.groupBy(*by).agg(F.sum("n").alias("__known"))
-    placed = lookup_figures(ahead, known, by, null_safe=True)
+# Bins of a histogram over the values of one group.
+_BINS = 4096
 
-    def at(offset: Column) -> Column:
-        inside = (F.col("__ahead") <= offset) & (offset < F.col("__ahead") + F.col("n"))
-        return F.max(F.when(inside, F.col(value)))
 
-    found = []
+def _quantiles_by_histogram(df, value, probabilities, by, one_task_rows):
+    known = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__value"))
+    ends = known.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("__known"), F.min("__value").alias("__low"), F.max("__value").alias("__high")
+    )
+    rows = lookup_figures(known, ends, by, null_safe=True, how="inner")
+    share = F.coalesce(F.try_divide(F.col("__value") - F.col("__low"), F.col("__high") - F.col("__low")), F.lit(0.0))
+    bins = F.least(F.floor(share * _BINS), F.lit(_BINS - 1)).cast("int").alias("__bin")
+    rows = rows.select(*by, "__value", "__known", bins)
+    histogram = settle(rows.groupBy(*by, "__bin").agg(F.count(F.lit(1)).alias("__n"), F.max("__known").alias("__known")))
+    # at most _BINS rows a group
+    earlier = Window.partitionBy(*by).orderBy("__bin").rowsBetween(_START, -1)
+    histogram = histogram.withColumn("__before", _or_zero(F.sum("__n").over(earlier)))
+
+    wanted = []
     for name, p in probabilities.items():
         place = (F.col("__known") - 1) * F.lit(float(p))
-        found += [
-            at(F.floor(place)).alias(f"__low_{name}"),
-            at(F.ceil(place)).alias(f"__high_{name}"),
-            F.max(place - F.floor(place)).alias(f"__part_{name}"),
+        part = place - F.floor(place)
+        wanted += [
+            F.struct(F.lit(name).alias("__name"), F.floor(place).alias("__place"), (1 - part).alias("__weight")),
+            F.struct(F.lit(name).alias("__name"), F.ceil(place).alias("__place"), part.alias("__weight")),
         ]
-    picked = placed.groupBy(*by).agg(*found)
-    return picked.select(
-        *by,
-        *[
-            (
-                F.col(f"__low_{name}")
-                + (F.col(f"__high_{name}") - F.col(f"__low_{name}")) * F.col(f"__part_{name}")
-            ).alias(name)
-            for name in probabilities
-        ],
-    )
+    places = histogram.select(*by, "__bin", "__n", "__before", F.inline(F.array(*wanted)))
+    inside = (F.col("__before") <= F.col("__place")) & (F.col("__place") < F.col("__before") + F.col("__n"))
+    places = settle(places.filter(inside).select(*by, "__bin", "__name", "__place", "__weight", "__before"))
+
+    held = lookup(rows, places.select(*by, "__bin").distinct(), [*by, "__bin"], null_safe=True, how="left_semi")
+    counts = value_counts(held, "__value", [*by, "__bin"])
+    ahead = running_before(counts, {"__ahead": F.col("n")}, [F.col("__value").asc()], [*by, "__bin"], one_task_rows)
+    met = lookup(ahead, places, [*by, "__bin"], null_safe=True, how="inner")
+    at = F.col("__place") - F.col("__before")
+    found = met.filter((F.col("__ahead") <= at) & (at < F.col("__ahead") + F.col("n")))
+    # a place between two values weighs both
+    mean = F.sum(F.col("__value") * F.col("__weight"))
+    picked = found.groupBy(*by, "__name").agg(mean.alias("__value"))
+    each = [F.max(F.when(F.col("__name") == name, F.col("__value"))).alias(name) for name in probabilities]
+    return picked.groupBy(*by).agg(*each)
 
 
 def row_mean(*columns: str) -> Column:

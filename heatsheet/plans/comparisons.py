@@ -31,10 +31,10 @@ def compare_summary(df: DataFrame, names: Names, ranking: DataFrame) -> DataFram
 
     means = rows.withColumn("__recent", recent).groupBy("name").agg(
         F.count(F.lit(1)).alias("events"),
-        F.avg("seconds").alias("avg_seconds"),
+        measures.exact_mean(F.col("seconds")).alias("avg_seconds"),
         F.avg("ppm").alias("avg_ppm"),
         F.count_if("__recent").alias("last_year_events"),
-        F.avg(last_year("seconds")).alias("last_year_seconds"),
+        measures.exact_mean(last_year("seconds")).alias("last_year_seconds"),
         F.avg(last_year("ppm")).alias("last_year_ppm"),
     )
     ranked = lookup(means, ranking.select("name", F.col("overall_rank").alias("rank")), ["name"])

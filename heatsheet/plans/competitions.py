@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from math import pi, sqrt
+from math import ceil, pi, sqrt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import clock
+from ..functions import clock, measures
 from ..operators.filters import for_event
 from ..operators.joins import lookup, lookup_figures
 from ..operators.ordering import by_size, quantiles, running_before, with_position
@@ -33,14 +33,14 @@ def event_overview(
     """
     pairs = _events(df, None).groupBy("full_event", "name").agg(
         F.min("seconds").alias("fastest"),
-        F.sum("seconds").alias("__seconds"),
+        F.sum(measures.micros(F.col("seconds"))).alias("__micros"),
         F.count("seconds").alias("__timed"),
     )
     events = pairs.groupBy("full_event").agg(
         F.count("name").alias("entrants"),
         F.count(F.lit(1)).alias("entrants_with_unknown"),
         F.min("fastest").alias("fastest"),
-        F.try_divide(F.sum("__seconds").cast("double"), F.sum("__timed")).alias("average"),
+        F.try_divide(measures.exact_total(F.col("__micros")), F.sum("__timed")).alias("average"),
     )
     compared = population_pct(events, ["entrants", "average"], one_task_rows)
 
@@ -126,73 +126,93 @@ def density(
 
     The bandwidth is the sample deviation times n^(-1/5). The event's curve is scaled to the
     peak of the overall curve. A side with fewer than two times, or without spread, has
-    no curve. Times are whole seconds, so a curve depends on at most 3600 * max_hours
-    distinct times, however many rows there are.
+    no curve.
+
+    Times are summed into slices of an eighth of the bandwidth by their powers, from which
+    the kernel sum of a slice follows to some 1e-11 of its height. So what meets the
+    grid are slices, of which a spread of times holds few, and not rows; and a slice meets only
+    the grid points that the kernel reaches.
     """
-    timed = df.select("full_event", "seconds").filter(clock.hours(F.col("seconds")) <= max_hours)
-    counts = settle(timed.groupBy("full_event", "seconds").agg(F.count(F.lit(1)).alias("__w")))
-    weights = counts.groupBy("seconds").agg(F.sum("__w").alias("__w"))
-    per_event = _with_bandwidth(_events(counts, full_event), ["full_event"])
-
-    # Few bytes but much arithmetic follow, so the number of partitions is fixed: by bytes
-    # alone they would be merged. An event has a bounded number of distinct times, so it
-    # may stay in one partition, and its curve needs no further shuffle. Its size __n is
-    # part of the keys to set this partitioning apart from the one the join leaves.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = per_event.repartition(tasks, "full_event", "__n")
-    curves = _curve(spread, ["full_event"], max_hours, points)
-    overall = _with_bandwidth(weights, []).repartition(tasks, "seconds", "__w")
-    y_all = _curve(overall, [], max_hours, points).select("point", F.col("__y").alias("y_all"))
+    timed = df.select("full_event", clock.hours(F.col("seconds")).alias("__x"))
+    timed = timed.filter(F.col("__x") <= max_hours)
+    per_event = _with_bandwidth(_events(timed, full_event), ["full_event"])
+    curves = _curve(per_event, ["full_event"], max_hours, points)
+    y_all = _curve(_with_bandwidth(timed, []), [], max_hours, points)
+    y_all = settle(y_all.select("point", F.col("__y").alias("y_all")))
 
     # One row per grid point, so the broadcast and the windows are small.
     both = lookup(curves, F.broadcast(y_all), ["point"], how="inner")
-    event = Window.partitionBy("full_event", "__n")
+    event = Window.partitionBy("full_event")
     peak, peak_all = F.max("__y").over(event), F.max("y_all").over(event)
     scaled = F.when(peak > 0, F.col("__y") * (peak_all / peak)).otherwise(F.col("__y"))
     return both.select("full_event", "point", "x", "y_all", scaled.alias("y_event"))
 
 
-def _with_bandwidth(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Add size ``__n`` and bandwidth ``__h`` to counted times; drop sides without spread."""
-    x, w = clock.hours(F.col("seconds")), F.col("__w")
-    sums = counts.groupBy(*by).agg(
-        F.sum("__w").alias("__n"),
-        F.try_divide(F.sum(w * x), F.sum(w)).alias("__mean"),
-        (F.min("seconds") < F.max("seconds")).alias("__spread"),
-    )
-    centred = _beside(counts, sums.filter("__spread").drop("__spread"), by)
-    squares = centred.groupBy(*by).agg(
-        F.max("__n").alias("__n"),
-        F.sum(w * (x - F.col("__mean")) * (x - F.col("__mean"))).alias("__squares"),
-    )
-    deviation = F.sqrt(F.col("__squares") / (F.col("__n") - 1))
-    widths = squares.filter(F.col("__n") >= 2).select(
-        *by, "__n", (deviation * F.pow(F.col("__n"), F.lit(-0.2))).alias("__h")
+def _with_bandwidth(times: DataFrame, by: list[str]) -> DataFrame:
+    """Add size ``__n`` and bandwidth ``__h`` to times ``__x``; drop sides without spread."""
+    sides = times.groupBy(*by).agg(
+        F.count("__x").alias("__n"),
+        F.stddev_samp("__x").alias("__sd"),
+        (F.min("__x") < F.max("__x")).alias("__spread"),
     )
-    return _beside(counts, widths, by)
-
-
-def _beside(rows: DataFrame, figures: DataFrame, by: list[str]) -> DataFrame:
-    """Put a group's figures beside its rows; without keys the one row of figures is literal."""
+    width = F.col("__sd") * F.pow(F.col("__n"), F.lit(-0.2))
+    sides = sides.filter("__spread").select(*by, "__n", width.alias("__h"))
     if by:
-        return lookup(rows, figures, by, how="inner")
-    one = figures.first()
+        return lookup_figures(times, sides, by, how="inner")
+    one = sides.first()
     if one is None:
-        return rows.limit(0).withColumns({c: F.lit(0.0) for c in figures.columns})
-    return rows.withColumns({c: F.lit(one[c]) for c in figures.columns})
-
-
-def _curve(counts: DataFrame, by: list[str], max_hours: float, points: int) -> DataFrame:
-    """Density on the grid from counted times with size ``__n`` and bandwidth ``__h``."""
-    x = F.col("point") * F.lit(max_hours / (points - 1))
-    u = (x - clock.hours(F.col("seconds"))) / F.col("__h")
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    on_grid = counts.withColumn("point", grid)
-    sums = on_grid.groupBy(*by, "__n", "__h", "point").agg(
-        F.sum(F.col("__w") * F.exp(u * u * -0.5)).alias("__sum")
-    )
-    height = F.col("__sum") / (F.col("__n") * F.col("__h") * F.lit(sqrt(2 * pi)))
-    return sums.select(*by, "__n", "point", x.alias("x"), height.alias("__y"))
+        return times.limit(0).withColumns({"__n": F.lit(0), "__h": F.lit(0.0)})
+    return times.withColumns({c: F.lit(one[c]) for c in sides.columns})
+
+
+# Slices per bandwidth, powers kept of each, and the kernel's reach in bandwidths. At these,
+# what is cut off is smaller than what doubles round.
+_SLICES, _POWERS, _REACH = 8, 9, 9.0
+# Pairs of a slice and a grid point that a task works on.
+_TASK_PAIRS = 2_000_000
+
+
+def _curve(times: DataFrame, by: list[str], max_hours: float, points: int) -> DataFrame:
+    """Density on the grid of times ``__x`` with size ``__n`` and bandwidth ``__h``.
+
+    With u the distance of a point and v that of a time from the middle of its slice, in
+    bandwidths, exp(-(u - v)^2 / 2) is exp(-u^2 / 2) times the sum of He_k(u) v^k / k!, where
+    He_k are the Hermite polynomials: He_0 = 1, He_1 = u, He_k+1 = u He_k - k He_k-1.
+    """
+    h, dx = F.col("__h"), max_hours / (points - 1)
+    place = F.floor(F.col("__x") / h * _SLICES).alias("__slice")
+    offset = F.col("__x") / h - (F.col("__slice") + 0.5) / _SLICES
+    sliced = times.select(*by, "__n", "__h", "__x", place).withColumn("__v", offset)
+    power, powers = F.lit(1.0), []
+    for k in range(_POWERS):
+        powers.append(F.sum(power).alias(f"__m{k}"))
+        power = power * F.col("__v") / (k + 1)
+    slices = settle(sliced.groupBy(*by, "__n", "__h", "__slice").agg(*powers))
+
+    # Few bytes but much arithmetic follow, so the number of tasks goes by the work.
+    tasks = max(1, ceil(slices.count() * points / _TASK_PAIRS))
+    slices = slices.repartition(tasks, *by, "__slice")
+    middle = (F.col("__slice") + 0.5) / _SLICES * h
+    first = F.greatest(F.lit(0), F.ceil((middle - h * _REACH) / dx).cast("int"))
+    last = F.least(F.lit(points - 1), F.floor((middle + h * _REACH) / dx).cast("int"))
+    reached = slices.withColumns({"__first": first, "__last": last}).filter("__first <= __last")
+    on_grid = reached.withColumn("point", F.explode(F.sequence("__first", "__last")))
+    on_grid = on_grid.withColumn("__u", (F.col("point") * F.lit(dx) - middle) / h)
+    u, older, he = F.col("__u"), F.lit(0.0), F.lit(1.0)
+    height = F.col("__m0")
+    for k in range(1, _POWERS):
+        name = f"__he{k}"
+        on_grid = on_grid.withColumn(name, u * he - (k - 1) * older)
+        older, he = he, F.col(name)
+        height = height + he * F.col(f"__m{k}")
+    sums = on_grid.groupBy(*by, "__n", "__h", "point").agg(F.sum(F.exp(u * u * -0.5) * height).alias("__sum"))
+
+    # points that no kernel reaches have the height 0
+    grid = slices.select(*by, "__n", "__h").distinct().withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    empty = grid.withColumn("__sum", F.lit(0.0))
+    filled = sums.unionByName(empty).groupBy(*by, "__n", "__h", "point").agg(F.sum("__sum").alias("__sum"))
+    y = F.col("__sum") / (F.col("__n") * F.col("__h") * F.lit(sqrt(2 * pi)))
+    return filled.select(*by, "point", (F.col("point") * F.lit(dx)).alias("x"), y.alias("__y"))
 
 
 def five_number(

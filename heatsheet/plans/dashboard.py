@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import clock
+from ..functions import clock, measures
 from ..operators.filters import latest_date
 from ..operators.timeline import cumulative
 from ..settings import TOP_ROWS
@@ -17,7 +17,7 @@ def totals(df: DataFrame) -> DataFrame:
         F.count_distinct("full_event").alias("events"),
         F.count_distinct("name").alias("competitors"),
         F.count(F.lit(1)).alias("attempts"),
-        F.coalesce(F.sum("seconds"), F.lit(0)).alias("seconds"),
+        F.coalesce(measures.exact_sum(F.col("seconds")), F.lit(0.0)).alias("seconds"),
         F.coalesce(F.sum("pieces"), F.lit(0.0)).alias("pieces"),
     ).withColumn("seconds_text", clock.format_timedelta(F.col("seconds")))
 
@@ -37,8 +37,8 @@ def totals_delta(df: DataFrame, months: int = 1) -> DataFrame:
         F.max("__before").alias("__stood"),
         F.count(F.lit(1)).alias("__rows"),
         F.count_if("__before").alias("__rows_before"),
-        F.sum("seconds").alias("__seconds"),
-        F.sum(F.when(F.col("__before"), F.col("seconds"))).alias("__seconds_before"),
+        measures.exact_sum(F.col("seconds")).alias("__seconds"),
+        measures.exact_sum(F.when(F.col("__before"), F.col("seconds"))).alias("__seconds_before"),
         F.sum("pieces").alias("__pieces"),
         F.sum(F.when(F.col("__before"), F.col("pieces"))).alias("__pieces_before"),
     )
@@ -57,8 +57,8 @@ def totals_delta(df: DataFrame, months: int = 1) -> DataFrame:
         F.count_if(is_name & F.col("__stood")).alias("competitors_before"),
         whole("__rows", 0).alias("attempts"),
         whole("__rows_before", 0).alias("attempts_before"),
-        whole("__seconds", 0).alias("seconds"),
-        whole("__seconds_before", 0).alias("seconds_before"),
+        whole("__seconds", 0.0).alias("seconds"),
+        whole("__seconds_before", 0.0).alias("seconds_before"),
         whole("__pieces", 0.0).alias("pieces"),
         whole("__pieces_before", 0.0).alias("pieces_before"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clock, measures
 from ..operators.filters import for_competitor, split_bad_names, trailing_per_key
 from ..operators.joins import lookup, lookup_figures
-from ..operators.ordering import GroupSizes, with_rank
+from ..operators.ordering import with_percent_ranks
 from ..operators.timeline import timeline
 from ..settings import ONE_TASK_ROWS, SERIES_DAYS
 from ..scratch import settle
@@ -57,7 +57,7 @@ def _figures(rows: DataFrame, conditions: dict[str, Column] | None = None) -> Da
             F.count_if(condition).alias(named("rows")),
             F.sum(under("pieces")).alias(named("pieces")),
             F.min(under("seconds")).alias(named("fastest")),
-            F.sum(under("seconds")).alias(named("seconds")),
+            F.sum(measures.micros(under("seconds"))).alias(named("micros")),
             F.count(under("seconds")).alias(named("timed")),
             *[
                 F.count_if(condition & (F.col("rank") == place)).alias(named(medal))
@@ -65,7 +65,7 @@ def _figures(rows: DataFrame, conditions: dict[str, Column] | None = None) -> Da
             ],
         ]
         present = F.col("full_event").isNotNull() & (F.col(named("rows")) > 0)
-        seconds = F.sum(named("seconds")).cast("double")
+        seconds = measures.exact_total(F.col(named("micros")))
         per_name += [
             F.count_if(present).alias(named("events")),
             F.coalesce(F.sum(named("pieces")), F.lit(0.0)).alias(named("pieces")),
@@ -81,14 +81,7 @@ def population_pct(
     df: DataFrame, columns: list[str], one_task_rows: int = ONE_TASK_ROWS
 ) -> DataFrame:
     """Add ``<column>_pct``: the percentile of each row's value among all rows."""
-    df = settle(df)
-    rows = df.count()
-    sizes = GroupSizes(rows, rows)
-    for column in columns:
-        df = with_rank(
-            df, f"{column}_pct", column, [], "percent", one_task_rows=one_task_rows, sizes=sizes
-        )
-    return df
+    return with_percent_ranks(settle(df), {c: f"{c}_pct" for c in columns}, one_task_rows)
 
 
 def competitor_profile(
@@ -153,10 +146,11 @@ def competitor_series(
     timed = _named(df, name).dropna(subset=["seconds", "date", "full_event"])
     columns = ["name", "entry_id", "full_event", "date", "seconds", "rank", "pieces"]
     # The timeline reads its rows several times.
-    recent = settle(trailing_per_key(timed.select(*columns), "name", SERIES_DAYS))
-    placed = timeline(recent, "seconds", one_task_rows=one_task_rows)
+    timed = timed.select(*columns, measures.micros(F.col("seconds")).alias("__micros"))
+    recent = settle(trailing_per_key(timed, "name", SERIES_DAYS))
+    placed = timeline(recent, "__micros", one_task_rows=one_task_rows)
     rows = with_entrants(placed, _named(df))
-    average = clock.hours(F.col("moving_average"))
+    average = clock.hours(F.col("moving_average") / 1_000_000)
     return rows.select(
         "name",
         "entry_id",
@@ -189,13 +183,13 @@ def event_detail(
     own = named.filter(F.col("full_event").isNotNull()).groupBy("name", "full_event").agg(
         F.min_by("seconds", "entry_id").alias("own_seconds"),
         F.min("seconds").alias("__fastest"),
-        F.sum("seconds").alias("__seconds"),
+        F.sum(measures.micros(F.col("seconds"))).alias("__micros"),
         F.count("seconds").alias("__timed"),
     )
     events = own.groupBy("full_event").agg(
         F.count("name").alias("entrants"),
         F.min("__fastest").alias("fastest"),
-        F.try_divide(F.sum("__seconds").cast("double"), F.sum("__timed")).alias("average"),
+        F.try_divide(measures.exact_total(F.col("__micros")), F.sum("__timed")).alias("average"),
     )
     if name is not None:
         own = for_competitor(own, name)

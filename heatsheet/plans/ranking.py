@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.filters import as_day, trailing
-from ..operators.joins import lookup, lookup_figures
+from ..operators.joins import lookup_figures
 from ..operators.ordering import (
     by_size,
     group_sizes,
@@ -34,15 +34,11 @@ def event_stats(
     exact.
     """
     known = df.filter(F.col(key).isNotNull())
-    basic = known.groupBy(key).agg(
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("sd"),
-        F.count(value).alias("timed"),
-    )
+    basic = {"mean": F.avg(value), "sd": F.stddev_samp(value), "timed": F.count(value)}
     wanted = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    quarters = quantiles(known, value, wanted, [key], one_task_rows)
+    figures = quantiles(known, value, wanted, [key], one_task_rows, beside=basic)
     iqr = F.col("q3") - F.col("q1")
-    return lookup(basic, quarters, [key]).select(
+    return figures.select(
         key,
         "mean",
         "sd",

@@ -19,7 +19,7 @@ RESULTS = _struct(
     full_event=_TEXT,
     date=T.DateType(),
     time_text=_TEXT,
-    seconds=_WHOLE,
+    seconds=_REAL,
     pieces=_REAL,
     remaining=_REAL,
     rank=T.IntegerType(),

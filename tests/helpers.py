@@ -26,10 +26,14 @@ def facts(spark, rows, **defaults):
             full["date"] = day(full["date"])
         unknown = set(full) - set(fields)
         assert not unknown, unknown
-        data.append(tuple(full.get(n) for n in fields))
+        data.append(tuple(_real(full.get(n), f.dataType) for n, f in fields.items()))
     return spark.createDataFrame(data, struct)
 
 
+def _real(value, kind):
+    return float(value) if isinstance(kind, T.DoubleType) and isinstance(value, int) else value
+
+
 def column(spark, kind, values):
     struct = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("v", kind)])
     return spark.createDataFrame(list(enumerate(values)), struct)

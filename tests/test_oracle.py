@@ -7,7 +7,9 @@ from checks import compare, registry, sql
 
 
 def test_every_query_has_its_sql():
-    assert set(entry_file.queries()) == set(entry_file.oracle_sql())
+    assert set(registry.queries()) == set(sql.oracle_sql())
+    assert set(registry.queries()) <= set(entry_file.queries())
+    assert set(entry_file.oracle_sql()) <= set(entry_file.queries())
 
 
 def test_entry_has_rows(spark):

@@ -71,7 +71,7 @@ def test_csv_and_ranking_round_trip(spark, tmp_path):
     rows = facts(spark, [{"name": "A, B", "seconds": 5}])
     hs.write_results_csv(rows, str(tmp_path / "csv"))
     back = spark.read.csv(str(tmp_path / "csv"), header=True).first()
-    assert (back["name"], back["seconds"], back["rank"]) == ("A, B", "5", None)
+    assert (back["name"], back["seconds"], back["rank"]) == ("A, B", "5.0", None)
     ranking = hs.rankings(rows, "2024-01-01", 1)
     hs.write_rankings(ranking, str(tmp_path / "ranking"))
     assert hs.load_rankings(spark, str(tmp_path / "ranking")).columns == ranking.columns
