@@ -66,8 +66,11 @@ from .plans.refresh import (
 )
 from .plans.timesearch import latest_state, time_search, time_search_counts
 from .sources import (
+    bucket_sources,
+    current_path,
     discard,
     drop_if_present,
+    list_tables,
     load_rankings,
     load_results,
     load_tables,

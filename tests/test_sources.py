@@ -2,10 +2,12 @@ import logging
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 import heatsheet as hs
 from heatsheet import schema
 from heatsheet import scratch
+from heatsheet.sources import files, sheets
 from helpers import facts, listed
 
 
@@ -70,7 +72,7 @@ def test_fact_round_trip_keeps_one_size_class(spark, tmp_path):
 def test_csv_and_ranking_round_trip(spark, tmp_path):
     rows = facts(spark, [{"name": "A, B", "seconds": 5}])
     hs.write_results_csv(rows, str(tmp_path / "csv"))
-    back = spark.read.csv(str(tmp_path / "csv"), header=True).first()
+    back = spark.read.csv(hs.current_path(spark, str(tmp_path / "csv")), header=True).first()
     assert (back["name"], back["seconds"], back["rank"]) == ("A, B", "5.0", None)
     ranking = hs.rankings(rows, "2024-01-01", 1)
     hs.write_rankings(ranking, str(tmp_path / "ranking"))
@@ -118,3 +120,100 @@ def test_year_filter_and_columns_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(date,2024-06-01)" in plan
     assert "ReadSchema: struct<name:string,date:date,pieces:double>" in plan
     assert recent.count() == 3
+
+
+def test_all_tables_of_a_folder_and_of_the_catalog(spark, tmp_path):
+    for name in ("competitors", "other"):
+        spark.range(2).write.parquet(str(tmp_path / f"{name}.parquet"))
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "notes.txt").write_text("x")
+    assert hs.list_tables(spark, str(tmp_path), "{name}.parquet") == ["competitors", "other"]
+    tables = hs.load_tables(spark, str(tmp_path), layout="{name}.parquet")
+    assert {n: t.count() for n, t in tables.items()} == {"competitors": 2, "other": 2}
+    spark.range(4).createOrReplaceTempView("listed_here")
+    assert "listed_here" in hs.list_tables(spark, None)
+    assert hs.load_tables(spark, None)["listed_here"].count() == 4
+
+
+def test_broken_files_are_logged_and_others_go_on(spark, tmp_path, caplog):
+    for name in ("competitors", "competitions", "unknown"):
+        spark.range(1000).repartition(3).write.parquet(str(tmp_path / name))
+    for name in ("competitions", "unknown"):
+        part = sorted((tmp_path / name).glob("part-*.parquet"))[-1]
+        part.write_bytes(part.read_bytes()[:-20])
+        (part.parent / f".{part.name}.crc").unlink()
+    with caplog.at_level(logging.WARNING):
+        tables = hs.load_tables(spark, str(tmp_path))
+    assert tables["competitors"].count() == 1000
+    assert tables["competitions"].count() == 0 and "unknown" not in tables
+    assert "competitions" in caplog.text and "unknown" in caplog.text
+
+
+def test_a_failing_write_leaves_the_last_table(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    hs.write_results(facts(spark, [{"name": "old"}]), path)
+    broken = facts(spark, [{"name": "new"}]).withColumn("name", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        hs.write_results(broken, path)
+    assert [r["name"] for r in hs.load_results(spark, path).collect()] == ["old"]
+    assert len(files.list_folder(spark, path)) == 1
+    reader = hs.load_results(spark, path)
+    hs.write_results(facts(spark, [{"name": "new"}]), path)
+    assert [r["name"] for r in reader.collect()] == ["old"]  # began before the switch
+    assert [r["name"] for r in hs.load_results(spark, path).collect()] == ["new"]
+    for i in range(3):
+        hs.write_results(facts(spark, [{"name": str(i)}]), path)
+    assert len(files.list_folder(spark, path)) == 1 + files.KEPT_VERSIONS
+    assert hs.load_results(spark, path).first()["name"] == "2"
+
+
+def test_a_table_that_is_no_ranking_is_refused(spark, tmp_path):
+    hs.write_rankings(spark.range(3).withColumnRenamed("id", "name"), str(tmp_path / "r"))
+    with pytest.raises(ValueError, match="name, eligible_attempts"):
+        hs.load_rankings(spark, str(tmp_path / "r"))
+
+
+def test_headers_of_many_sheets_take_one_job(spark, tmp_path):
+    tracker = spark.sparkContext.statusTracker()
+    jobs = {}
+    for n in (3, 30):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        for i in range(n):
+            (folder / f"s{i}.csv").write_text(f'event,"na""me, x",{"time" if i % 2 else "Time2"}\nT{i},A,1:00:00\n')
+        (folder / "empty.csv").write_text("")
+        spark.sparkContext.setJobGroup(f"sheets{n}", "")
+        made = hs.union_sources(spark, [str(p) for p in folder.glob("*.csv")])
+        jobs[n] = len(tracker.getJobIdsForGroup(f"sheets{n}"))
+        assert made.count() == n and {'na"me, x', "time", "Time2", "source"} <= set(made.columns)
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[3] == jobs[30]
+
+
+def test_sheets_in_folders_and_parquet(spark, tmp_path):
+    rows = spark.createDataFrame([("A b", "Open", "x"), ("C", "Close", "y")], "sheet string, event string, name string")
+    for name in ("A b", "C"):
+        rows.filter(F.col("sheet") == name).drop("sheet").write.option("header", True).csv(str(tmp_path / "csv" / name))
+    made = hs.union_sources(spark, [f"{tmp_path}/csv/{n}" for n in ("A b", "C")], named_by="folder")
+    assert {(r["source"], r["event"], r["name"]) for r in made.collect()} == {("A b", "Open", "x"), ("C", "Close", "y")}
+    rows.write.parquet(str(tmp_path / "p" / "one.parquet"))
+    spark.createDataFrame([("Z", 1)], "event string, extra int").write.parquet(str(tmp_path / "p" / "two.parquet"))
+    merged = hs.union_sources(spark, [f"{tmp_path}/p/{n}.parquet" for n in ("one", "two")], format="parquet")
+    assert merged.count() == 3 and {"sheet", "event", "extra"} <= set(merged.columns)
+
+
+def test_names_in_headers():
+    assert sheets._columns("a,,A,b", ",", '"') == ("a0", "_c1", "A2", "b")
+
+
+def test_entries_in_buckets_join_without_a_shuffle(spark):
+    entries = spark.createDataFrame([(f"e{i}", f"c{i % 3}") for i in range(50)], "entry_id string, competition_id string")
+    teams = spark.createDataFrame([(f"e{i // 2}", f"p{i % 7}") for i in range(80)], "entry_id string, competitor_id string")
+    stored = hs.bucket_sources({"competition_entries": entries, "entry_competitors": teams, "competitors": teams}, 4)
+    assert stored["competitors"] is teams
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    joined = stored["competition_entries"].join(stored["entry_competitors"], "entry_id", "left")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plain = entries.join(teams, "entry_id", "left")
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, plain.collect()))
