@@ -16,6 +16,8 @@ from heatsheet import schema
 from heatsheet.functions import clock, measures
 from heatsheet.operators.joins import lookup
 from heatsheet.plans.refresh import with_competitor_totals, with_measures
+from heatsheet.scratch import shared_path
+from heatsheet.sources.files import list_folder
 from heatsheet.sources.tables import size_class
 
 UNRANKED_EVENT = "1997-03|1-URGENT"
@@ -171,6 +173,39 @@ def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+# Shapes of dates in the sheets, by the remainder of the entry id.
+DAY_SHAPES = [
+    "M/d/yyyy", "MMM d, yyyy", "yyyy-MM-dd", "MMMM d, yyyy", "yyyy/MM/dd", "MM-dd-yyyy",
+    "d MMM yyyy", "dd.MM.yyyy", "yyyy-MM-dd HH:mm:ss",
+]
+
+
+def _day_text(key: Column) -> Column:
+    """The date in one of several shapes; some cannot be read."""
+    n = len(DAY_SHAPES)
+    shaped = [F.when(key % n == i, F.date_format("date", shape)) for i, shape in enumerate(DAY_SHAPES)]
+    return F.when(key % 47 == 0, F.concat(F.lit("soon "), (key % 3).cast("string"))).otherwise(F.coalesce(*shaped))
+
+
+def sheet_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """A folder with one CSV file for each month; every second month has other columns."""
+    rows = attempts(spark, sf_dir).filter(F.col("event").isNotNull())
+    title = F.concat(F.lit("Title "), "entry_id", F.lit(", \"of\" "), "full_event")
+    cells = rows.select(
+        F.substring("event", 1, 7).alias("sheet"),
+        "entry_id", title.alias("event"), "name", clock.format_hms(F.col("seconds")).alias("time"),
+        F.col("pieces").cast("bigint").cast("string").alias("pieces"),
+    )
+    odd = F.substring("sheet", 7, 1).cast("int") % 2 == 1
+    paths = []
+    for part in (cells.filter(odd), cells.filter(~odd).drop("pieces")):
+        base = shared_path(spark, "sheets-")
+        dealt = part.repartition("sheet").sortWithinPartitions("sheet", "entry_id")
+        dealt.write.partitionBy("sheet").option("header", True).csv(base)
+        paths += [f"{base}/{name}" for name in list_folder(spark, base)]
+    return paths
+
+
 def sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Event sheets with untidy cells, event ratings and latest ratings."""
     rows = attempts(spark, sf_dir)
@@ -194,10 +229,7 @@ def sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
         F.when(key % 43 == 0, F.lit("five hundred"))
         .otherwise(F.col("pieces").cast("bigint").cast("string"))
         .alias("pieces"),
-        F.when(key % 3 == 0, F.date_format("date", "M/d/yyyy"))
-        .when(key % 3 == 1, F.date_format("date", "MMM d, yyyy"))
-        .otherwise(F.date_format("date", "yyyy-MM-dd"))
-        .alias("Date"),
+        _day_text(key).alias("Date"),
         (key % 50).cast("string").alias("Rank"),
         (key % 7 + 0.5).cast("string").alias("PPM"),
         (key % 10).cast("string").alias("Rating In"),

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import heatsheet as hs
 from heatsheet.functions import clock, measures
-from heatsheet.settings import SEARCH_MAX_SECONDS
+from heatsheet.scratch import shared_path
+from heatsheet.settings import ONE_TASK_ROWS, SEARCH_MAX_SECONDS
 from heatsheet.sources.tables import size_class
 
 from . import binding
@@ -114,11 +116,11 @@ def _spread_dates(rows):
     return hs.spread_dates(named).select("entry_id", "name", "date", "spread_date")
 
 
-def _population(rows):
+def _population(rows, one_task_rows=ONE_TASK_ROWS):
     people = rows.filter(F.col("name").isNotNull()).groupBy("name").agg(
         F.count_distinct("full_event").alias("events"), F.min("seconds").alias("fastest")
     )
-    return hs.population_pct(people, ["events", "fastest"])
+    return hs.population_pct(people, ["events", "fastest"], one_task_rows)
 
 
 def _scores(rows):
@@ -143,7 +145,95 @@ def _positions(rows):
     return hs.with_position(keyed, "position", order)
 
 
+def _bucketed(spark, sf_dir):
+    tables = hs.bucket_sources(binding.star_tables(spark, sf_dir), 8)
+    return rounded(hs.build_results(tables, repair_events=["1997-03", "1998-05"]))
+
+
+def _listed_tables(spark, sf_dir):
+    """Rows of every table of the folder, and of one that is not there."""
+    tables = hs.load_tables(spark, sf_dir, layout="{name}.parquet")
+    tables |= hs.load_tables(spark, sf_dir, [], ["competitors"], layout="{name}.parquet")
+    counts = [
+        t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        for name, t in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _written(spark, sf_dir, write, load, old, new):
+    """What a reader finds after a table was written twice."""
+    path = shared_path(spark, "table-")
+    write(old, path)
+    write(new, path)
+    return load(spark, path)
+
+
+def _loaded_results(spark, sf_dir):
+    fact = binding.fact(spark, sf_dir)
+    write = lambda df, path: hs.write_results(df, path, ["date", "entry_id"])
+    loaded = _written(spark, sf_dir, write, hs.load_results, fact.filter("entry_id % 2 = 0"), fact)
+    return loaded.select("entry_id", "name", "date", "seconds", "pieces")
+
+
+def _csv_results(spark, sf_dir):
+    fact = binding.fact(spark, sf_dir)
+    loaded = _written(spark, sf_dir, hs.write_results_csv, hs.load_results_csv, fact.limit(0), fact)
+    return loaded.select("entry_id", "name", "full_event", "date", "seconds", "rank", "rating_out", "total_events")
+
+
+def _loaded_rankings(spark, sf_dir):
+    ranking = binding.ranking(spark, sf_dir)
+    return rounded(_written(spark, sf_dir, hs.write_rankings, hs.load_rankings, ranking.filter("z_rank = 1"), ranking))
+
+
+def _sheet_union(spark, sf_dir):
+    paths = binding.sheet_files(spark, sf_dir)
+    tagged = hs.tag_source(hs.union_sources(spark, paths, named_by="folder"))
+    return tagged.select("event", "full_event", "entry_id", "name", "time", "pieces")
+
+
+def _some_competitors(rows):
+    names = rows.filter(F.col("name").endswith("7")).select("name").distinct()
+    return hs.for_competitors(rows, names).select("entry_id", "name")
+
+
+# A limit that makes nearly every group take the way of groups too large for one task.
+_FEW = 10
+
+
 def queries() -> dict[str, Query]:
+    return _plain_queries() | {
+        "build_results_bucketed": _bucketed,
+        "listed_tables": _listed_tables,
+        "loaded_results": _loaded_results,
+        "loaded_results_csv": _csv_results,
+        "loaded_rankings": _loaded_rankings,
+        "sheet_union": _sheet_union,
+        "unread_dates": lambda spark, sf_dir: clock.unread_days(binding.sheets(spark, sf_dir)[0], "Date"),
+        "one_competitor": _on_results(
+            lambda rows: hs.for_competitor(rows, "Customer#000000010").select("entry_id", "name", "date", "seconds")
+        ),
+        "some_competitors": _on_results(_some_competitors),
+        # the same by the way of large groups
+        "event_stats_split": _on_results(lambda rows: hs.event_stats(rows, one_task_rows=_FEW)),
+        "attempt_boxes_split": _on_results(
+            lambda rows: hs.five_number(
+                hs.with_attempt_number(rows, _FEW), "full_event", "attempt_number", _FEW
+            )
+        ),
+        "score_attempts_split": _on_results(
+            lambda rows: hs.score_attempts(rows, min_event_attempts=10, one_task_rows=_FEW).select(
+                "entry_id", "event", "event_timed", "z", "percentile"
+            )
+        ),
+        "population_pct_split": _on_results(lambda rows: _population(rows, _FEW)),
+        "performance_curve_split": _on_results(lambda rows: hs.performance_curve(rows, one_task_rows=_FEW)),
+        "leaderboard_split": _on_results(lambda rows: hs.leaderboard(rows, one_task_rows=_FEW)),
+    }
+
+
+def _plain_queries() -> dict[str, Query]:
     return {
         # building
         "result_fact": lambda spark, sf_dir: rounded(binding.build_fact(spark, sf_dir)),

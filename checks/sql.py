@@ -307,7 +307,7 @@ SHEETS = f"""WITH {ATTEMPTS}, titles AS (
               WHEN b.entry_id % 37 = 0 THEN 'DNF' ELSE {clock('seconds')} END AS time_text,
          CASE WHEN b.entry_id % 31 = 0 OR b.entry_id % 37 = 0 THEN NULL ELSE floor(seconds) END AS seconds,
          CASE WHEN b.entry_id % 43 = 0 THEN NULL ELSE pieces END AS pieces,
-         b.date, CAST(b.entry_id % 50 AS INT) AS rank, CAST(b.entry_id % 7 + 0.5 AS DOUBLE) AS ppm,
+         CASE WHEN b.entry_id % 47 <> 0 THEN b.date END AS date, CAST(b.entry_id % 50 AS INT) AS rank, CAST(b.entry_id % 7 + 0.5 AS DOUBLE) AS ppm,
          CAST(b.entry_id % 10 AS DOUBLE) AS rating_in, CAST(b.entry_id % 9 AS DOUBLE) AS event_strength,
          {clock('seconds')} AS avg_12m_text,
          CASE WHEN b.entry_id % 29 = 0 THEN 0 WHEN b.entry_id % 31 = 0 THEN 0 ELSE remaining END
@@ -590,6 +590,40 @@ def oracle_sql() -> dict[str, str]:
             count(*) FILTER (pace_seconds BETWEEN 5400 AND 9000) AS shown,
             count(*) AS competitors, min(pace_seconds) AS smallest FROM paces""",
     }
+    tables = [
+        "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem",
+        "nation", "orders", "pages", "part", "region", "supplier",
+    ]
+    counts = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in tables)
+    sql |= {
+        "build_results_bucketed": STAR,
+        "listed_tables": f"{counts} UNION ALL SELECT 'competitors', 0",
+        "loaded_results": f"WITH {FACT} SELECT entry_id, name, date, seconds, pieces FROM r",
+        "loaded_results_csv": f"""WITH {FACT} SELECT CAST(entry_id AS VARCHAR) AS entry_id, name, full_event, date,
+            seconds, rank, rating_out, CAST(total_events AS BIGINT) AS total_events FROM fact""",
+        "loaded_rankings": sql["rankings"],
+        "sheet_union": f"""WITH {ATTEMPTS}, cells AS (
+              SELECT *, substr(event, 1, 7) AS sheet FROM base),
+            titles AS (
+              SELECT sheet, concat('Title ', min(entry_id), ', "of" ', arg_min(full_event, entry_id)) AS full_event
+              FROM cells GROUP BY sheet)
+            SELECT concat('sheet=', sheet) AS event, t.full_event, CAST(entry_id AS VARCHAR) AS entry_id, name,
+                   {clock('seconds')} AS time,
+                   CASE WHEN CAST(substr(sheet, 7, 1) AS INT) % 2 = 1 THEN CAST(CAST(pieces AS BIGINT) AS VARCHAR) END
+                     AS pieces
+            FROM cells JOIN titles t USING (sheet)""",
+        "unread_dates": f"""WITH {ATTEMPTS} SELECT concat('soon ', entry_id % 3) AS text, count(*) AS rows
+            FROM base WHERE entry_id % 47 = 0 GROUP BY ALL""",
+        "one_competitor": f"""WITH {FACT} SELECT entry_id, name, date, seconds FROM r
+            WHERE name = 'Customer#000000010'""",
+        "some_competitors": f"WITH {FACT} SELECT entry_id, name FROM r WHERE name LIKE '%7'",
+    }
+    sql |= {
+        f"{name}_split": sql[name]
+        for name in (
+            "event_stats", "attempt_boxes", "score_attempts", "population_pct", "performance_curve", "leaderboard",
+        )
+    }
     top = f"""WITH {FACT}, top AS (SELECT name, {medal_counts} FROM good WHERE rank IN (1, 2, 3)
         GROUP BY name ORDER BY count(*) DESC, name LIMIT 20)"""
     sql["top_medalists"] = f"{top} SELECT * FROM top"

@@ -73,6 +73,7 @@ from .sources import (
     list_tables,
     load_rankings,
     load_results,
+    load_results_csv,
     load_tables,
     settle,
     tag_source,

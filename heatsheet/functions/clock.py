@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,12 +10,13 @@ _PART = r"\s*[+-]?\d+\s*"
 _THREE_PARTS = f"^{_PART}:{_PART}:{_PART}$"
 _TWO_PARTS = f"^{_PART}:{_PART}$"
 
-_ISO_START = r"^[+-]?\d{4,}(-|$)"
-_DAY_FORMATS = {
-    r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
-    r"^[A-Za-z]{3} \d{1,2}, \d{4}$": "MMM d, yyyy",
-    r"^\d{1,2} [A-Za-z]{3} \d{4}$": "d MMM yyyy",
-}
+# The months as dates in text name them.
+_MONTHS = [
+    "january", "february", "march", "april", "may", "june",
+    "july", "august", "september", "october", "november", "december",
+]
+# What stands between the parts of a date, as in 8/11/2025, Aug 11, 2025 or 11.08.2025.
+_BETWEEN = r"[/.\-\s,]+"
 
 # The shape is tested first, because a failing cast of text is slow. Parts are cut with
 # substring_index, which needs neither a regular expression nor an array.
@@ -96,13 +97,55 @@ def hours(seconds: Column) -> Column:
 def to_day(value: Column) -> Column:
     """A date from a date, a timestamp or text; NULL for what cannot be read.
 
-    Text is ISO, or has one of ``_DAY_FORMATS``; the month comes first in ``8/11/2025``.
+    Text is ISO, with or without a time, or has three parts in one of these orders: year,
+    month, day if the first part has four digits; month by name and day on either side of each
+    other; day, month with dots (11.08.2025); else month, day (8/11/2025). The year has four
+    digits, a month's name three letters or more.
     """
-    text = F.btrim(value.cast("string"))
-    day = F.when(text.rlike(_ISO_START), F.try_to_timestamp(text).cast("date"))
-    for shape, layout in _DAY_FORMATS.items():
-        day = day.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout)).cast("date"))
-    return day
+    typed = F.typeof(value).isin("date", "timestamp", "timestamp_ntz")  # folds away
+    return F.when(typed, value.try_cast("date")).otherwise(_day_of_text(F.btrim(value.cast("string"))))
+
+
+def _day_of_text(text: Column) -> Column:
+    iso = F.substring(text, 5, 1) == "-"
+    dotted = r"^(\d{1,2})\.(\d{1,2})\."
+    text = F.when(F.substring(text, -5, 1) == ".", F.regexp_replace(text, dotted, "$2.$1.")).otherwise(text)
+    # a cast reads a day and leaves out what follows, so more than a day is read as a time
+    day_or_time = F.when(F.length(text) <= 10, text.try_cast("date")).otherwise(text.try_cast("timestamp").cast("date"))
+    # a lambda has the parts made once for all the places that use them
+    other = F.get(F.transform(F.array(F.split(text, _BETWEEN)), _iso_of_parts), F.lit(0)).try_cast("date")
+    return F.when(iso, day_or_time).otherwise(other)
+
+
+def _iso_of_parts(parts: Column) -> Column:
+    """Year, month and day as ISO text; what the parts are made of tells their order."""
+    first, second, third = (F.get(parts, F.lit(i)) for i in range(3))
+
+    def joined(*ordered: Column) -> Column:
+        return F.concat(ordered[0], F.lit("-"), ordered[1], F.lit("-"), ordered[2])
+
+    return (
+        F.when(F.size(parts) != 3, None)
+        .when(first >= "A", joined(third, _month(first), second))
+        .when(second >= "A", joined(third, _month(second), first))
+        .when(F.length(first) == 4, joined(first, second, third))
+        .otherwise(joined(third, first, second))
+    )
+
+
+def _month(name: Column) -> Column:
+    """Number of a month by its name or the first letters of it; text, NULL if it is none."""
+    lower = F.lower(name)
+    number = F.floor((F.instr(F.lit("".join(m[:3] for m in _MONTHS)), F.substring(lower, 1, 3)) + 2) / 3)
+    full = F.get(F.array(*map(F.lit, _MONTHS)), number.cast("int") - 1)
+    return F.when((F.length(lower) >= 3) & F.startswith(full, lower), number.cast("string"))
+
+
+def unread_days(df: DataFrame, column: str) -> DataFrame:
+    """The texts of a column that ``to_day`` cannot read, with their number of rows."""
+    text = F.btrim(F.col(column).cast("string"))
+    unread = df.filter((text != "") & to_day(F.col(column)).isNull())
+    return unread.groupBy(F.col(column).alias("text")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def day_label(day: Column) -> Column:

@@ -6,6 +6,7 @@ from .tables import (
     list_tables,
     load_rankings,
     load_results,
+    load_results_csv,
     load_tables,
     write_rankings,
     write_results,
@@ -13,6 +14,6 @@ from .tables import (
 )
 
 __all__ = [
-    "bucket_sources", "current_path", "discard", "drop_if_present", "list_tables", "load_rankings", "load_results", "load_tables", "settle",
+    "bucket_sources", "current_path", "discard", "drop_if_present", "list_tables", "load_rankings", "load_results", "load_results_csv", "load_tables", "settle",
     "tag_source", "union_sources", "write_rankings", "write_results", "write_results_csv",
 ]

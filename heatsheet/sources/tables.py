@@ -152,5 +152,10 @@ def write_results_csv(df: DataFrame, path: str) -> None:
     write_version(df.sparkSession, path, df.write.option("header", True).csv)
 
 
+def load_results_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The fact as ``write_results_csv`` left it; ids are text."""
+    return S.conform(spark.read.option("header", True).csv(current_path(spark, path)), S.RESULTS)
+
+
 def write_rankings(df: DataFrame, path: str) -> None:
     write_version(df.sparkSession, path, df.write.parquet)

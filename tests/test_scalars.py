@@ -117,3 +117,25 @@ def test_days_in_other_formats(spark):
 def test_numbers_in_other_shapes(spark):
     texts = ["-1.5e3", " 7 ", ".5", "5.", "1:00:00", "", "0x10"]
     assert evaluate(spark, TEXT, texts, measures.to_number) == [-1500, 7, 0.5, 5, None, None, None]
+
+
+def test_dates_in_many_shapes(spark):
+    day = __import__("datetime").date(2025, 8, 11)
+    good = [
+        "8/11/2025", "08/11/2025", "2025/08/11", "2025-08-11", "2025-08-11 23:10:00", "2025-08-11T01:02:03", "08-11-2025",
+        "Aug 11, 2025", "August 11, 2025", "aug 11 2025", "11 Aug 2025", "11 August 2025", "11-Aug-2025", "11.08.2025", " 2025.8.11 ",
+    ]
+    bad = ["", "soon", "8/11/25", "13/11/2025", "Augst 11, 2025", "An 11, 2025", "2025-13-01", "2025-08-11 later", "1/2/3/2025", "0/0/2025", "Feb 30, 2025", "8//2025"]
+    assert evaluate(spark, TEXT, good, clock.to_day) == [day] * len(good)
+    assert evaluate(spark, TEXT, bad, clock.to_day) == [None] * len(bad)
+    rows = spark.createDataFrame([(t,) for t in ["8/11/2025", "soon", "soon", " ", None]], "d string")
+    assert [tuple(r) for r in clock.unread_days(rows, "d").collect()] == [("soon", 2)]
+
+
+def test_typed_dates_are_left_alone(spark):
+    rows = spark.sql("SELECT DATE'2025-08-11' AS d, TIMESTAMP'2025-08-11 23:00:00' AS t")
+    plan = rows.select(clock.to_day(F.col("d")), clock.to_day(F.col("t")))
+    assert set(map(str, plan.first())) == {"2025-08-11"}
+    table = spark.range(3).select(F.date_from_unix_date(F.col("id").cast("int")).alias("d"))
+    shown = table.select(clock.to_day(F.col("d")).alias("day"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in shown and "string" not in shown
