@@ -4,7 +4,8 @@ Text nodes are grouped by their path of tags from the root. A path's ratio is th
 node, its punctuation ratio the punctuation per node. Both are smoothed over the paths that
 come before and after it on the page, fused by their product, and paths above a threshold
 are content. Paths through elements that never hold the article (menus, forms, scripts,
-notes, boxes named as adverts, comments, notices) have no ratio.
+notes) have no ratio, nor have boxes whose names say that they stand beside it (adverts,
+comments, notices), unless what they hold shows that they are the frame of the page.
 """
 
 from __future__ import annotations
@@ -76,16 +77,17 @@ REMEMBERED = 20_000
 
 @dataclass(slots=True)
 class Node:
-    """A run of text: its path, its block on the page, whether it stands in a link."""
+    """A run of text: its path, its block on the page, whether it stands in a link, and the named boxes around it."""
 
     path: str
     block: int
     text: str
     link: bool
+    boxes: tuple[int, ...]
 
 
-def labelled(tag: str, attributes: str) -> tuple[str, bool]:
-    """The label of an element in paths, and whether it never holds the article."""
+def labelled(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """The label of an element in paths, whether it never holds the article, and whether its name says it stands beside it."""
     named: set[str] = set()
     closed = tag in RAW or tag in NEVER
     for key, value in _attribute(attributes) if attributes else ():
@@ -94,17 +96,16 @@ def labelled(tag: str, attributes: str) -> tuple[str, bool]:
             named |= {word.lower() for word in _name_parts(_split_camel(" ", unescape(value)))}
         elif key == "hidden" or key == "aria-hidden" and "true" in value.lower():
             closed = True
-    closed = closed or tag not in BODY and not BOXES.isdisjoint(named)
-    return ".".join([tag, *sorted(named)]), closed
+    return ".".join([tag, *sorted(named)]), closed, tag not in BODY and not BOXES.isdisjoint(named)
 
 
 class Reader:
     """Text nodes of pages in order; lenient as browsers are. One reader serves a task."""
 
     def __init__(self) -> None:
-        self.known: dict[tuple[str, str], tuple[str, bool]] = {}
+        self.known: dict[tuple[str, str], tuple[str, bool, bool]] = {}
 
-    def label(self, tag: str, attributes: str) -> tuple[str, bool]:
+    def label(self, tag: str, attributes: str) -> tuple[str, bool, bool]:
         key = tag, attributes
         if key not in self.known:
             if len(self.known) >= REMEMBERED:
@@ -114,8 +115,11 @@ class Reader:
 
     def read(self, page: str) -> list[Node]:
         nodes: list[Node] = []
-        stack: list[tuple[str, str, bool, int]] = []  # tag, path so far, whether it never holds the article, links
-        block, at = 0, 0
+        # tag, path so far, whether it never holds the article, links, named boxes
+        stack: list[tuple[str, str, bool, int, tuple[int, ...]]] = []
+        block, at, n_boxes = 0, 0, 0
+        marked: set[int] = set()  # named boxes with an article inside
+        titled: set[int] = set()  # named boxes with a title inside
         for found in _markup(page):
             if found.start() < at:
                 continue
@@ -144,36 +148,80 @@ class Reader:
                     break
                 if above in HOLDS:
                     break
-            label, closed = self.label(tag, found[3])
-            path, shut, links = (stack[-1][1] + "/", stack[-1][2], stack[-1][3]) if stack else ("", False, 0)
-            if tag not in INLINE or closed:
+            label, closed, beside = self.label(tag, found[3])
+            path, shut, links, boxes = (stack[-1][1] + "/", *stack[-1][2:]) if stack else ("", False, 0, ())
+            if tag in ("article", "main") and not shut:
+                marked.update(boxes)
+            elif tag == "h1" and not shut:
+                titled.update(boxes)
+            if beside:
+                n_boxes += 1
+                boxes = (*boxes, n_boxes)
+            if tag not in INLINE or closed or beside:
                 path += label
             else:
                 path = path[:-1]
             if not (found[3].endswith("/") and tag not in BLOCK and tag not in RAW):
-                stack.append((tag, path, shut or closed, links + (tag == "a")))
+                stack.append((tag, path, shut or closed, links + (tag == "a"), boxes))
             if tag in _ends:
                 end = _ends[tag].search(page, at)
                 at = end.start() if end else len(page)
         if at < len(page):
             self._text(nodes, stack, block, page[at:])
-        return nodes
+        return outside(nodes, marked, titled)
 
     @staticmethod
     def _text(nodes: list[Node], stack: list, block: int, text: str) -> None:
         if not stack or not stack[-1][2]:
-            nodes.append(Node(stack[-1][1] if stack else "", block, unescape(text) if "&" in text else text, bool(stack and stack[-1][3])))
+            path, links, boxes = (stack[-1][1], stack[-1][3], stack[-1][4]) if stack else ("", 0, ())
+            nodes.append(Node(path, block, unescape(text) if "&" in text else text, bool(links), boxes))
+
+
+#: A box that leaves no more than this share of the page's text outside is the frame of the page.
+LEFT_OUTSIDE = 0.1
+
+
+_in_text = re.compile(r"(^|/)(article|main|p)(\.|/|$)").search
+
+
+def outside(nodes: list[Node], marked: set[int], titled: set[int]) -> list[Node]:
+    """The nodes that stand in no box beside the article.
+
+    A box is the frame of the page, whatever its name, if it has an article element inside, or
+    the title and half of the text, or if next to no text, and no paragraph or article, stands
+    outside of the named boxes.
+    """
+    if not any(node.boxes for node in nodes):
+        return nodes
+    held: Counter[int] = Counter()
+    total, free, told = 0, 0, False
+    for node in nodes:
+        n = len(node.text.strip())
+        total += n
+        free += n * (not node.boxes)
+        told = told or n > 0 and not node.boxes and bool(_in_text(node.path))
+        for box in node.boxes:
+            held[box] += n
+    frames = {box for box, n in held.items() if box in marked or box in titled and 2 * n >= total}
+    if free <= LEFT_OUTSIDE * total and not told:
+        frames |= {box for box, n in held.items() if n >= (1 - LEFT_OUTSIDE) * total}
+    return [node for node in nodes if frames.issuperset(node.boxes)]
+
+
+#: A path keeps at least this share of the page's mean fused ratio, a plain box in the article this one.
+THRESHOLD, BOX_THRESHOLD = 0.1, 0.5
 
 
-#: A path keeps at least this share of the page's mean fused ratio.
-THRESHOLD = 0.1
+_in_article = re.compile(r"(^|/)article(\.|/|$)").search
+_in_main = re.compile(r"(^|/)main(\.|/|$)").search
+_in_box = re.compile(r"(^|/)(div|section|ul|ol)(\.[^/]*)?$").search
 
 
 def content_paths(nodes: list[Node]) -> set[str]:
     """Paths that hold the article.
 
-    Paths within the page's article or main element all belong to it when there is one with
-    text; the ratios then choose among the rest only if they are far better.
+    Where the page's article element, or else its main element, has half of what the ratios
+    choose, paths outside of it go, and inside of it the ratios judge plain boxes alone.
     """
     length, marks, count, linked = Counter(), Counter(), Counter(), Counter()
     order: list[str] = []
@@ -193,12 +241,17 @@ def content_paths(nodes: list[Node]) -> set[str]:
     ratio = [length[p] / count[p] for p in order]
     punctuation = [(marks[p] + 1) / count[p] for p in order]
     fused = [a * b for a, b in zip(smooth(ratio), smooth(punctuation), strict=True)]
-    bound = THRESHOLD * sum(fused) / len(fused)
+    mean = sum(fused) / len(fused)
+    bound = THRESHOLD * mean
     chosen = {p for p, value in zip(order, fused, strict=True) if value >= bound and 2 * linked[p] <= length[p]}
-    article = [p for p in order if re.search(r"(^|/)(article|main)(\.|/|$)", p)]
-    inside = sum(length[p] for p in article)
-    if inside and 2 * inside >= sum(length[p] for p in chosen):
-        return {p for p in article if 2 * linked[p] <= length[p]} or chosen
+    # a plain box is judged by its own text, too, and not only with its neighbours
+    ratios = {p: min(value, a * b) for p, value, a, b in zip(order, fused, ratio, punctuation, strict=True)}
+    for element in (_in_article, _in_main):
+        own = [p for p in order if element(p)]
+        if own and 2 * sum(length[p] for p in own) >= sum(length[p] for p in chosen):
+            # text that stands in a plain box, and not in a paragraph or title, must be rich enough
+            rich = {p for p in own if 2 * linked[p] <= length[p] and (not _in_box(p) or ratios[p] >= BOX_THRESHOLD * mean)}
+            return rich or chosen
     return chosen
 
 
