@@ -7,8 +7,9 @@ walks through the null space of the balancing constraints (number of documents,
 words) until a coordinate is 0 or 1, so both totals stay at their expected values. Blocks
 of a source walk side by side in tasks and leave at most two undecided documents each;
 those of all blocks meet in the next round, until one block is left. There a reserve of
-documents has waited, and the small landing problem is solved among it. Draws depend on the seed, the source
-and the order of the documents alone, so reruns agree.
+documents has waited, and the small landing problem is solved among it: the number of documents is
+given up first, the words last. Draws depend on the seed, the source and the order of the
+documents alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -113,7 +114,7 @@ def finish(sizes: list[float], shares: list[float], key: str, seed: int) -> list
 
     The larger half flies and lands. What its landing missed, in words, is laid on the
     probabilities of the others, evenly, before their larger half follows. So the error that
-    stays is about the size of the smallest documents.
+    stays is below the size of the smallest documents.
     """
     made, start, missed, step = [], 0, 0.0, 0
     while start < len(sizes):
@@ -125,7 +126,21 @@ def finish(sizes: list[float], shares: list[float], key: str, seed: int) -> list
         missed += sum((took - share) * size for took, share, size in zip(x, shares[start:stop], sizes[start:stop], strict=True))
         made += x
         start, step = stop, step + 1
-    return made
+    return level(sizes, made, missed)
+
+
+def level(sizes: list[float], x: list[float], missed: float) -> list[float]:
+    """Decide single documents the other way, large ones first, where that brings the words nearer to their total.
+
+    ``missed`` is what the decisions take above that. The number of documents is given up
+    before the words; flights leave little, so few documents change.
+    """
+    for i, size in enumerate(sizes):
+        change = -size if x[i] else size
+        if abs(missed + change) < abs(missed):
+            x[i] = 1.0 - x[i]
+            missed += change
+    return x
 
 
 def _walk(part: DataFrame, seed: int, last: bool, round_no: int) -> DataFrame:
