@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import licenses
 from .quality import CLASSES, Rules
-from .templates import DEPTH, MIN_CONTEXTS, MIN_SHARE, MIN_TOKENS
+from .templates import DEPTH, FIELD_TOKENS, MIN_DOCUMENTS, MIN_TOKENS, OWN_PART, ROUNDING
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
@@ -63,32 +63,44 @@ FROM documents d LEFT JOIN made USING (doc_id)
 """
 
 OP5 = rf"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i,
-         len(string_split(text, chr(10))) AS n
-  FROM documents WHERE text IS NOT NULL
+WITH texts AS (
+  SELECT row_number() OVER () AS id, text FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)
+), lines AS (
+  SELECT id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM texts
 ), tokens AS (
   SELECT *, string_split_regex(trim(line, {_BLANKS}), '[\x20\x09-\x0D]+') AS t FROM lines
+), leads AS (
+  SELECT id, i, line, len(t) AS n, list_transform(t[1:{DEPTH}], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS lead FROM tokens
 ), leaves AS (
-  SELECT doc_id, i, n, line,
-         CASE WHEN len(t) >= {MIN_TOKENS}
-              THEN len(t) || ' ' || array_to_string(list_transform(t[1:{DEPTH}], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ')
-         END AS leaf
-  FROM tokens
-), placed AS (
-  SELECT *, coalesce(lag(leaf) OVER d, '') || chr(10) || coalesce(lead(leaf) OVER d, '') || chr(10) || (i = 1) || (i = n) AS around
-  FROM leaves WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+  SELECT id, i, unnest(
+    CASE WHEN n >= {MIN_TOKENS} THEN [n || ' - ' || array_to_string(lead, ' ')] ELSE [] END ||
+    CASE WHEN n >= {FIELD_TOKENS}
+         THEN list_transform(range(1, len(lead) + 1), lambda k: n || ' ' || k || ' ' || array_to_string(lead[1:k - 1], ' ') || ' * ' || array_to_string(lead[k + 1:], ' '))
+         ELSE [] END) AS leaf
+  FROM leads
+), held AS (
+  SELECT DISTINCT id, leaf FROM leaves
+), often AS (
+  SELECT leaf FROM held GROUP BY leaf HAVING count(*) >= {MIN_DOCUMENTS}
+), holds AS (
+  SELECT held.* FROM held SEMI JOIN often USING (leaf)
+), pieces AS (
+  SELECT DISTINCT id, unnest(string_split_regex(text, '[.,;:!?\n]+')) AS piece FROM texts WHERE id IN (SELECT id FROM holds)
+), rated AS (
+  SELECT id, count(*) OVER (PARTITION BY piece) AS n FROM pieces WHERE trim(piece, {_BLANKS}) <> ''
+), alike AS (
+  SELECT id, list_sort(list(n))[(count(*) - 1) // {OWN_PART} + 1] AS texts FROM rated GROUP BY id
 ), recurring AS (
-  SELECT leaf FROM placed WHERE leaf IS NOT NULL GROUP BY leaf
-  HAVING count(DISTINCT around) >= {MIN_CONTEXTS} AND count(DISTINCT around) * 100 >= count(*) * {MIN_SHARE}
+  SELECT leaf FROM holds JOIN alike USING (id) GROUP BY leaf HAVING sum(1 / texts) >= {MIN_DOCUMENTS} - {ROUNDING}
+), lost AS (
+  SELECT DISTINCT id, i FROM leaves SEMI JOIN recurring USING (leaf)
 ), made AS (
-  SELECT doc_id, count(*) AS n_lines, count(r.leaf) AS n_dropped,
-         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (r.leaf IS NULL), '') AS kept
-  FROM placed LEFT JOIN recurring r ON placed.leaf = r.leaf GROUP BY doc_id
+  SELECT id, count(*) AS n_lines, count(lost.i) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY lines.i) FILTER (lost.i IS NULL), '') AS kept
+  FROM lines LEFT JOIN lost USING (id, i) GROUP BY id
 )
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
        CAST(coalesce(length(kept), 0) AS BIGINT) AS n_chars, sha256(coalesce(kept, '')) AS kept_sha256
-FROM documents d LEFT JOIN made USING (doc_id)
+FROM documents d LEFT JOIN texts USING (text) LEFT JOIN made USING (id)
 """
 
 OP6 = rf"""
