@@ -20,6 +20,16 @@ _IDS = ("entry_id", "competitor_id")
 _KEYS = ("entry_id", "competition_id", "competitor_id")
 
 
+# The tables in the order in which they own columns, and what joins them to the entries.
+_JOIN_KEYS = {
+    "competition_entries": ["entry_id", "competition_id"],
+    "competitions": ["competition_id"],
+    "entry_competitors": ["entry_id"],
+    "competitors": ["competitor_id"],
+    "player_event_metrics": ["competitor_id", "competition_id"],
+}
+
+
 def _whole(column: Column) -> Column:
     return column.try_cast("int")
 
@@ -60,13 +70,14 @@ def build_results(
     """
     # Each table is read before the joins: a date is parsed once per competition, and not
     # once per result.
-    read = {name: _read(table) for name, table in tables.items()}
-    metric_keys = ["competitor_id", "competition_id"]
+    read = _owned({name: _read(tables[name]) for name in _JOIN_KEYS})
     rows = read["competition_entries"]
-    rows = _attach(rows, read["competitions"], ["competition_id"])
+    # Teams come first: tables that lie in buckets by entry (``bucket_sources``) meet there
+    # without a shuffle, which a join by another key before would undo.
     rows = _attach(rows, read["entry_competitors"], ["entry_id"])
-    rows = _attach(rows, read["competitors"], ["competitor_id"], null_safe)
-    rows = _attach(rows, read["player_event_metrics"], metric_keys, null_safe)
+    rows = _attach(rows, read["competitions"], ["competition_id"])
+    for name in ("competitors", "player_event_metrics"):
+        rows = _attach(rows, read[name], _JOIN_KEYS[name], null_safe)
     if missing := [c for c, (name, _) in _READINGS.items() if name not in rows.columns]:
         raise ValueError(f"no source table has: {', '.join(missing)}")
 
@@ -88,6 +99,16 @@ def _read(table: DataFrame) -> DataFrame:
     return table.select(*[c for c in _KEYS if c in table.columns], *known)
 
 
+def _owned(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Each table with its keys and the columns that no table before it has."""
+    taken: set[str] = set()
+    out = {}
+    for name, table in tables.items():
+        out[name] = table.select(*[c for c in table.columns if c in _JOIN_KEYS[name] or c not in taken])
+        taken |= set(table.columns)
+    return out
+
+
 def _attach(rows, table, keys, null_safe=False):
     new = [c for c in table.columns if c in keys or c not in rows.columns]
     return lookup(rows, table.select(*new), keys, null_safe)

@@ -123,3 +123,25 @@ def test_sheet_columns_have_a_place_or_are_refused(spark):
         hs.build_results_from_sheets(sheet, ratings, latest)
     found = hs.build_results_from_sheets(sheet, ratings, latest, junk=["Notes"]).first()
     assert (found.ppm, found.date.isoformat()) == (8.3, "2025-08-11")
+
+
+def _join_plan(spark, monkeypatch, tables):
+    """The plan of the joined rows, when no table is small enough to be sent to all tasks."""
+    from heatsheet.plans import refresh
+
+    plans, settle = [], refresh.settle
+    monkeypatch.setattr(refresh, "settle", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), settle(df))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = sorted(map(str, hs.build_results(tables).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return plans[0], rows
+
+
+def test_tables_in_buckets_spare_the_exchanges_by_entry(spark, monkeypatch):
+    plain, rows = _join_plan(spark, monkeypatch, _tables(spark))
+    bucketed, same = _join_plan(spark, monkeypatch, hs.bucket_sources(_tables(spark), 8))
+    assert same == rows
+    assert plain.count("Exchange hashpartitioning(") == 8
+    assert bucketed.count("Exchange hashpartitioning(") == 6 and "hashpartitioning(entry_id" not in bucketed
