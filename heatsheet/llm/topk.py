@@ -30,10 +30,13 @@ QUERY_ROWS = 256
 SCALE = 256
 #: Bits of a component that have slices. Rows that the others could lift are scored exactly.
 KEPT_BITS = 6
+#: A vector with a component beyond this is indexed apart, in blocks of WIDE_ROWS without slices.
+WIDE, WIDE_ROWS = 1 << 24, 1024
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(vector: Column) -> Column:
-    """floor(256 * x) of every component, as longs; null if a component is null or not finite."""
+    """floor(256 * x) of every component, cut to the ends of a long; null if a component is null or not finite."""
     values = F.transform(vector, lambda x: x.cast("double"))
     bad = F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.when(vector.isNotNull() & ~bad, F.transform(values, lambda x: F.floor(x * SCALE).cast("long")))
@@ -162,12 +165,14 @@ def positions(bitmap: np.ndarray) -> np.ndarray:
 
 
 def build_index(vectors: DataFrame, id_column: str, vector_column: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Index blocks: dims, block, ids, values, each a binary of longs; every usable row is in one."""
+    """dims, id, v, block of every usable row; blocks with negative numbers hold the wide rows."""
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), quantised(F.col(vector_column)).alias("v"))
     rows = settle(rows.filter("id is not null and v is not null and size(v) > 0").withColumn("dims", F.size("v")))
-    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).alias("blocks")
-    sizes = rows.groupBy("dims").agg(blocks)
-    return rows.join(sizes, "dims").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.withColumn("wide", F.exists("v", lambda x: (x >= WIDE) | (x <= -WIDE)))
+    blocks = F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("wide")) / block_rows)).alias("blocks")
+    sizes = rows.groupBy("dims").agg(blocks, F.ceil(F.count_if("wide") / WIDE_ROWS).alias("wide_blocks"))
+    apart = F.lit(-1) - F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.col("wide_blocks")))
+    return rows.join(sizes, "dims").withColumn("block", F.when(F.col("wide"), apart).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))))
 
 
 def top_k(
@@ -183,10 +188,11 @@ def top_k(
     vectors, the query is the smallest.
 
     Queries in blocks meet index blocks, both keyed by the pair of block numbers; a task
-    holds one pair. Scores must fit a long, else the query raises an error.
+    holds one pair. Components and scores beyond a long are cut to its ends. Vectors with very
+    large components have no slices; they, and what such a query meets, are scored one by one.
     """
     rows = settle(build_index(vectors, id_column, vector_column, block_rows))
-    sizes = rows.groupBy("dims").agg(F.max("blocks").alias("blocks"))
+    sizes = rows.groupBy("dims").agg(F.max("blocks").alias("blocks"), F.max("wide_blocks").alias("wide_blocks"))
     queries = rows.filter(F.pmod(F.col("id"), F.lit(every)) == 0).groupBy("dims", "id").agg(F.min("v").alias("v"))
     asked = queries.groupBy("dims").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / query_rows)).alias("asks"))
 
@@ -209,10 +215,10 @@ def top_k(
     in_blocks = (
         queries.join(asked, "dims").withColumn("ask", F.pmod(F.xxhash64("id", F.lit(1)), F.col("asks")))
         .groupBy("dims", "ask").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("queries"))
-        .join(sizes, "dims").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .join(sizes, "dims").withColumn("block", F.explode(F.sequence(-F.col("wide_blocks"), F.col("blocks") - 1)))
     )
     # a pair is little data and much work, so each is a task of its own
-    n_pairs = sizes.join(asked, "dims").agg(F.sum(F.col("blocks") * F.col("asks"))).first()[0] or 1
+    n_pairs = sizes.join(asked, "dims").agg(F.sum((F.col("blocks") + F.col("wide_blocks")) * F.col("asks"))).first()[0] or 1
     pairs = (
         in_blocks.join(index, ["dims", "block"])
         .repartition(int(min(n_pairs, MOST_TASKS)), "dims", "block", "ask")
@@ -222,6 +228,10 @@ def top_k(
     def answers(source: Iterator[tuple]) -> Iterator[tuple]:
         for dims, queries_, cut, ids_, kind, vals_, maps_ in source:
             ids, values = np.frombuffer(ids_, np.int64), np.frombuffer(vals_, kind).reshape(-1, dims)
+            if not maps_:
+                for one in queries_:
+                    yield from ((one["id"], *found) for found in plainly_best(ids, values, one["id"], one["v"], k))
+                continue
             words = -(-len(ids) // 64)
             maps = np.frombuffer(maps_, np.uint64).reshape(-1, words)
             maps = np.concatenate([maps, ~maps])
@@ -231,7 +241,8 @@ def top_k(
                 query, weights = one["id"], one["v"]
                 slack = ((1 << cut) - 1) * sum(map(abs, weights))
                 if sum(map(abs, weights)) * max(1, largest) >= 1 << 62:
-                    raise ValueError("scores do not fit a long")
+                    yield from ((query, *found) for found in plainly_best(ids, values, query, weights, k))
+                    continue
                 everyone[:] = 0
                 everyone[: len(ids)] = ids != query
                 present = np.packbits(everyone, bitorder="little").view(np.uint64)
@@ -252,9 +263,18 @@ def top_k(
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def plainly_best(ids: np.ndarray, values: np.ndarray, query: int, weights: list[int], k: int) -> list[tuple[int, int]]:
+    """Id and score of the k best rows but the query's own, in whole numbers of any size."""
+    exact = values.astype(object) @ np.array(weights, object)
+    found = sorted((-min(MOST, max(LEAST, score)), i) for i, score in zip(ids.tolist(), exact.tolist(), strict=True) if i != query)
+    return [(i, -score) for score, i in found[:k]]
+
+
 def _pack(held: list[tuple]) -> tuple:
     values = np.array([row[3] for row in held], np.int64)
-    maps, cut = slices(values)
     ids = np.array([row[2] for row in held], np.int64)
+    if held[0][1] < 0:
+        return held[0][0], held[0][1], 0, ids.tobytes(), "int64", values.tobytes(), b""
+    maps, cut = slices(values)
     least = next(kind for kind in ("int16", "int32", "int64") if np.array_equal(values.astype(kind), values))
     return held[0][0], held[0][1], cut, ids.tobytes(), least, values.astype(least).tobytes(), maps.tobytes()

@@ -163,6 +163,25 @@ def test_top_k(spark):
     assert topk.top_k(table.limit(0)).count() == 0
 
 
+def test_top_k_with_vast_components_and_odd_names(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist(), "x", 1) for i in range(120)]
+    for i, big in ((10, 1e8), (50, -3e9), (77, 1e30), (78, -1e300), (79, 5e-324)):
+        rows[i] = (i, [big, *rows[i][1][1:]], "x", 1)
+    rows += [(130, None, "x", 1), (131, [], "x", 1), (100, rows[100][1], "x", 1), (132, [float("inf")] * 4, "x", 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, rank int").repartition(3)
+    got = {}
+    for r in topk.top_k(table, block_rows=32).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    ends = lambda n: min(topk.MOST, max(topk.LEAST, n))
+    whole = lambda v: [ends(int(np.floor(256 * x))) for x in v]
+    usable = [(i, whole(v)) for i, v, *_ in rows if v and np.isfinite(v).all()]
+    for q, w in {i: v for i, v in usable if i % 50 == 0}.items():
+        best = sorted((-ends(sum(a * b for a, b in zip(w, v, strict=True))), i) for i, v in usable if i != q)[:5]
+        assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)], q
+    assert set(got) == {0, 50, 100}
+
+
 def test_quality(docs, none):
     rows = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     assert rows[4]["base_failed"] and rows[5]["n_words"] == 0 and not rows[5]["kept"]
