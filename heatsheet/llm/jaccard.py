@@ -19,15 +19,17 @@ between classes that are apart is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
+from operator import add, and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from ..scratch import settle
+from ..scratch import condense, settle
 from .components import components
 from .hashing import FILTER_BITS, LOWER, as_long, make_filter, mixed, passes, runs, words_of
 from .text import chunks, map_columns
@@ -39,7 +41,17 @@ THRESHOLD, PART = 75, 100
 COMMON = 32
 COUNTED_BITS = np.uint64((1 << 40) - 1)
 #: Lists longer than this are dealt out to several tasks; each part has a centre of its own.
-LONG, PARTS = 10_000, 64
+LONG, PARTS = 10_000, 1024
+#: Bits of the map of a set by which pairs are turned down, in longs of 64.
+MAP_LONGS = 32
+#: Pairs across components for each entry of a list, above which rounds of further centres come first.
+CROWDED = 8
+#: The same over all such lists, above which a round pays; the maps turn down most pairs of fewer.
+ROUND_ABOVE = 32
+#: Rounds of further centres at most; what is open then is compared pair by pair.
+ROUNDS = 8
+#: A round that links fewer than one of so many pairs is the last one.
+ROUND_YIELD = 50
 #: Components known so far, up to which they are sent to every task.
 SENT_ROWS = 1_000_000
 #: Sizes that may enumerate subsets.
@@ -47,7 +59,7 @@ MOST_LIGHT = 16
 #: Writing, counting and meeting one list entry, in units of one enumerated subset.
 LIST_COST = 4
 #: Classes that a task remembers in order to list copies once.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 
 def need(a, b):
@@ -91,11 +103,13 @@ class Sets:
         short = np.flatnonzero((per_text > 0) & (per_text < SHINGLE))
         whole = [mixed(runs(words[first[i] : first[i] + per_text[i]], int(per_text[i])) + np.uint64(per_text[i])) for i in short]
         h, of = np.concatenate([h, *whole]), np.concatenate([of, short])
-        # order: shingles in the filter last, then by fingerprint
+        # order: shingles in the filter last, then by fingerprint; short numbers of texts sort fast
         place = h >> np.uint64(1)
         if common is not None:
             place = place | passes(common, h).astype(np.uint64) << np.uint64(63)
-        order = np.lexsort((h, place, of))
+        order = np.argsort(place)
+        texts_of = of[order].astype(np.uint16) if len(texts) < 1 << 16 else of[order]
+        order = order[np.argsort(texts_of, kind="stable")]
         h, of = h[order], of[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
@@ -149,7 +163,7 @@ def _texts(part: list[tuple]) -> list[bytes]:
 
 
 def _counted(texts: DataFrame, least: int, common: np.ndarray | None, rest: bool = False) -> DataFrame:
-    """h, n: how many sets list a shingle (copies in other tasks count again).
+    """h, n: how many sets list a shingle (copies in other tasks may count again).
 
     With ``rest``, how many sets of mostly common prefixes have it behind the prefix.
     Only filters are made of this, so 40 bits of a fingerprint do and halve what is shuffled.
@@ -157,13 +171,14 @@ def _counted(texts: DataFrame, least: int, common: np.ndarray | None, rest: bool
     shipped = texts.sparkSession.sparkContext.broadcast(common)
 
     def columns(source: Iterator[tuple]) -> Iterator[tuple]:
+        last = shipped.value
         seen, held, size = Seen(), [], 0
         for part in chunks(source):
-            sets = Sets(_texts(part), None if rest else shipped.value)
+            sets = Sets(_texts(part), None if rest else last)
             new = seen.new(sets, least)
-            held.append((sets.behind(new, shipped.value) if rest else sets.listed(new)[0]) & COUNTED_BITS)
+            held.append((sets.behind(new, last) if rest else sets.listed(new)[0]) & COUNTED_BITS)
             size += len(held[-1])
-            if size > 2_000_000:
+            if size > 1_000_000:
                 found, n = np.unique(np.concatenate(held), return_counts=True)
                 yield as_long(found), n.astype(np.int32)
                 held, size = [], 0
@@ -184,29 +199,61 @@ def _pair(a: Column, b: Column) -> tuple[Column, Column]:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, bits: int) -> DataFrame:
-    """The pairs of classes that are linked, by the sizes of their intersection and union.
+def _keys_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
 
-    Sets of the classes in question are packed to five bytes a shingle; a task compares one
-    pair at a time.
+
+def _rows_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows that stand for the classes, so that Python workers see no more; beyond SENT_ROWS classes all rows."""
+    return _semi(texts, classes, "row")
+
+
+def _semi(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    if wanted.limit(SENT_ROWS + 1).count() > SENT_ROWS:
+        return rows
+    return rows.join(F.broadcast(wanted.select(column).distinct()), column, "left_semi")
+
+
+def _packed(texts: DataFrame, classes: DataFrame, keys: DataFrame, maps: bool = False) -> DataFrame:
+    """key, members, settled: sets of (at least) the classes in ``keys`` (h), five bytes a shingle.
+
+    Only rows that stand for a class (``classes``: key, row) are read. Should several rows have
+    the number of one, a class may come out again from another task, which only repeats a
+    comparison. With ``maps`` also map0, map1, ...: the bits of the shingles' last places.
     """
-    keys = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
-    wanted, any_ = make_filter(texts.sparkSession, keys, bits=bits)
-    if not any_:
-        return pairs
-    shipped = texts.sparkSession.sparkContext.broadcast(wanted)
+    asked = settle(classes.join(keys.withColumnRenamed("h", "key"), "key", "left_semi"))
 
     def columns(source: Iterator[tuple]) -> Iterator[tuple]:
         seen = Seen()
         for part in chunks(source):
             sets = Sets(_texts(part))
             new = seen.new(sets, 1)
-            new = new[passes(shipped.value, sets.key[new].view(np.uint64))] if new.size else new
             # without a filter the order is that of the fingerprints, and so is that of their upper bytes
-            packed = [pack(sets.shingle[sets.first[i] : sets.first[i] + sets.size[i]]) for i in new.tolist()]
-            yield sets.key[new], packed
+            own = [sets.shingle[sets.first[i] : sets.first[i] + sets.size[i]] for i in new.tolist()]
+            packed = [pack(shingles) for shingles in own]
+            yield (sets.key[new], packed, *(bit_maps(own).T if maps else ()))
+
+    longs = "".join(f", map{i} long" for i in range(MAP_LONGS)) if maps else ""
+    made = map_columns(_rows_of(texts, asked), columns, f"key long, members binary{longs}")
+    return settle(_semi(made, asked, "key"))
+
+
+def bit_maps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of longs for each set; bits that differ between two rows are fewer than shingles that do."""
+    bits = np.zeros((len(sets), 64 * MAP_LONGS), bool)
+    for i, shingles in enumerate(sets):
+        bits[i, (shingles & np.uint64(64 * MAP_LONGS - 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def _maps_allow(n_a: Column, n_b: Column, a: list[Column], b: list[Column]) -> Column:
+    """Whether sets with these maps may differ by as little as a link requires."""
+    differ = reduce(add, (F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)))
+    return differ * (PART + THRESHOLD) <= (n_a + n_b) * (PART - THRESHOLD)
+
 
-    sets = settle(map_columns(texts, columns, "key long, members binary").dropDuplicates(["key"]))
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are linked, by the sizes of intersection and union; a task compares one pair at a time."""
     met = (
         pairs.join(sets.select(F.col("key").alias("b"), F.col("members").alias("of_b")), "b")
         .join(sets.select(F.col("key").alias("a"), F.col("members").alias("of_a")), "a")
@@ -231,6 +278,75 @@ def _verified(texts: DataFrame, pairs: DataFrame, bits: int) -> DataFrame:
     return map_columns(met, linked, "a long, b long")
 
 
+def _labelled(listed: DataFrame, joined: DataFrame) -> DataFrame:
+    """``listed`` with the component of each class, by ``joined`` (node, component)."""
+    joined = F.broadcast(joined) if joined.limit(SENT_ROWS + 1).count() <= SENT_ROWS else joined
+    labelled = listed.join(joined.select(F.col("node").alias("key"), "component"), "key", "left")
+    return labelled.withColumn("component", F.coalesce("component", "key"))
+
+
+def _mains(entries: DataFrame, turn: int) -> DataFrame:
+    """For each list of several components: the largest (``main``), one member of it, and the number of pairs across."""
+    pick = F.max(F.struct(F.xxhash64("key", "h", F.lit(turn)), "key", "n", "at")).alias("pick")
+    held = entries.groupBy("h", "component").agg(F.count(F.lit(1)).alias("many"), pick)
+    top = F.max(F.struct("many", F.col("component").alias("main"), "pick")).alias("t")
+    mains = held.groupBy("h").agg(top, F.sum("many").alias("all"), F.sum(F.col("many") * F.col("many")).alias("squares"))
+    across = (F.col("all").cast("double") * F.col("all") - F.col("squares")) / 2
+    return mains.filter("all > t.many").select("h", "t.main", "t.pick", "all", across.alias("across"))
+
+
+def _across(entries: DataFrame, *more: Column) -> DataFrame:
+    """Pairs (a, b) of classes in different components that share a list; ``entries`` has main.
+
+    One side is outside the main component, so a group of copies is not paired with itself.
+    """
+    x, y = entries.alias("x"), entries.alias("y")
+    outside = F.col("y.component") != F.col("y.main")
+    apart = (F.col("x.component") != F.col("y.component")) & (~outside | (F.col("x.key") < F.col("y.key")))
+    near = _may_link(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
+    on = reduce(and_, more, (F.col("x.h") == F.col("y.h")) & apart & near)
+    return x.filter("component <> main").join(y, on).select(*_pair(F.col("x.key"), F.col("y.key"))).distinct()
+
+
+def _crowded_links(texts: DataFrame, classes: DataFrame, listed: DataFrame, joined: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Links inside lists with many pairs across components, and the lists (h); None if there are no such lists.
+
+    While there are many pairs, each member outside its list's largest component is
+    compared with one member of that, another one in each list and round, and what links is joined.
+    The pairs left are compared one by one, but for those that the maps of the sets turn down.
+    """
+    long = _labelled(listed.filter(F.col("many") > 2 * CROWDED), joined)
+    crowded = settle(_mains(long, 0).filter(F.col("across") > CROWDED * F.col("all")).select("h"))
+    if crowded.isEmpty():
+        return None
+    entries = settle(long.join(crowded, "h").select("h", "key", "n", "at", "component"))
+    sets = _packed(texts, classes, entries.select(F.col("key").alias("h")).distinct(), maps=True)
+    found = None
+    for turn in range(ROUNDS):
+        mains = settle(_mains(entries, turn))
+        across, size = mains.agg(F.sum("across"), F.sum("all")).first()
+        if not size or across <= ROUND_ABOVE * size:
+            break
+        met = entries.join(mains, "h").filter("component <> main")
+        near = _may_link(F.col("n"), F.col("at"), F.col("pick.n"), F.col("pick.at"))
+        pairs = met.filter(near).select(*_pair(F.col("key"), F.col("pick.key")), "component", "main").dropDuplicates(["a", "b"])
+        pairs = settle(pairs)
+        links = settle(_linked(pairs.select("a", "b"), sets))
+        found = links if found is None else found.unionByName(links)
+        done = done.unionByName(pairs.select("a", "b"))
+        if ROUND_YIELD * links.count() < pairs.count():
+            break
+        renamed = components(pairs.join(links, ["a", "b"]).select(F.col("component").alias("a"), F.col("main").alias("b")))
+        renamed = renamed.select(F.col("node").alias("component"), F.col("component").alias("new"))
+        entries = settle(entries.join(renamed, "component", "left").withColumn("component", F.coalesce("new", "component")).drop("new"))
+    maps = [f"map{i}" for i in range(MAP_LONGS)]
+    mapped = settle(entries.join(_mains(entries, 0).select("h", "main"), "h").join(sets.drop("members"), "key"))
+    allowed = _maps_allow(F.col("x.n"), F.col("y.n"), [F.col(f"x.{m}") for m in maps], [F.col(f"y.{m}") for m in maps])
+    pairs = settle(_across(mapped, allowed).join(done, ["a", "b"], "left_anti"))
+    links = settle(_linked(pairs, sets))
+    return (links if found is None else found.unionByName(links)), crowded
+
+
 def pack(shingles: np.ndarray) -> bytes:
     """Sorted fingerprints, the upper five bytes of each."""
     return np.sort(shingles >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
@@ -281,7 +397,7 @@ def _light_links(texts: DataFrame, most: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and the key of the set for every row."""
+    """doc_id, n_shingles, the key of the set, and a number by which the row is found again (rows of one id share it)."""
 
     def columns(source: Iterator[tuple]) -> Iterator[tuple]:
         for part in chunks(source):
@@ -289,13 +405,17 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             yield [row[0] for row in part], sets.size, sets.key
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_columns(docs.select("doc_id", F.col("text").cast("binary").alias("text")), columns, f"doc_id {kind}, n_shingles long, key long")
+    made = map_columns(docs.select("doc_id", F.col("text").cast("binary").alias("text")), columns, f"doc_id {kind}, n_shingles long, key long")
+    return made.withColumn("row", F.xxhash64("doc_id"))
 
 
 def join_classes(docs: DataFrame, found: DataFrame, common: int = COMMON, bits: int = FILTER_BITS, long: int = LONG) -> DataFrame:
     """key, component: classes of equal sets that links connect, for classes with a link."""
     spark = docs.sparkSession
-    texts = docs.filter(F.col("text").isNotNull()).select(F.col("text").cast("binary").alias("text"))
+    texts = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("row"), F.col("text").cast("binary").alias("text"))
+    # one row stands for its class in all that follows; others pass the filter only by chance
+    classes = settle(found.filter("n_shingles > 0").groupBy("key").agg(F.min("row").alias("row")))
+    texts = _rows_of(texts, classes)
     small = found.filter(F.col("n_shingles").between(1, MOST_LIGHT)).groupBy("n_shingles").agg(F.countDistinct("key").alias("n")).collect()
     most = boundary({r["n_shingles"]: r["n"] for r in small})
     # lists hold the heavy sets and the light ones that may link with them
@@ -328,10 +448,10 @@ def join_classes(docs: DataFrame, found: DataFrame, common: int = COMMON, bits:
         entries = entries.dropDuplicates(["h", "salt", "key"])
         # a list's centre is the set that shares most of what it lists: the original of edited copies
         centre = F.max(F.struct("share", "key", "n", "at")).alias("p")
-        centres = entries.groupBy(*on).agg(centre, F.count(F.lit(1)).alias("many"), F.first("parted").alias("parted")).filter("many > 1 or parted")
-        listed = settle(
-            entries.drop("parted").join(centres.hint("merge"), on).select("h", "key", "n", "at", "parted", F.col("p.key").alias("p_key"), F.col("p.n").alias("p_n"), F.col("p.at").alias("p_at"))
-        )
+        centres = entries.groupBy(*on).agg(centre, F.count(F.lit(1)).alias("many"), F.max("parted").alias("split")).filter("many > 1 or split")
+        # share is kept, as both sides must read the same columns to have one exchange
+        listed = entries.join(centres.hint("merge"), on).select("h", "key", "n", "at", "many", "parted", "share", F.col("p.key").alias("p_key"), F.col("p.n").alias("p_n"), F.col("p.at").alias("p_at"))
+        listed = settle(listed).drop("share")
         near = _may_link(F.col("n"), F.col("at"), F.col("p_n"), F.col("p_at"))
         first = listed.filter((F.col("key") != F.col("p_key")) & near).select(*_pair(F.col("key"), F.col("p_key")))
         listed = listed.withColumn("c_key", F.col("p_key"))
@@ -342,23 +462,19 @@ def join_classes(docs: DataFrame, found: DataFrame, common: int = COMMON, bits:
             first = first.unionByName(parts.join(tops, "h").filter("p_key <> top").select(*_pair(F.col("p_key"), F.col("top"))))
             listed = settle(listed.join(tops, "h", "left").withColumn("c_key", F.coalesce("top", "p_key")).drop("top"))
         first = settle(first.distinct())
-        found_links = settle(_verified(texts, first, bits))
-        links = found_links if links is None else settle(links.unionByName(found_links))
+        verified = condense(spark, lambda: _linked(first, _packed(texts, classes, _keys_of(first))))
+        links = verified if links is None else settle(links.unionByName(verified))
         joined = settle(components(links))
-        joined = F.broadcast(joined) if joined.limit(SENT_ROWS + 1).count() <= SENT_ROWS else joined
-        labelled = listed.join(joined.select(F.col("node").alias("key"), "component"), "key", "left").join(
-            joined.select(F.col("node").alias("c_key"), F.col("component").alias("main")), "c_key", "left"
-        )
-        labelled = labelled.select(
-            "h", "key", "n", "at", F.coalesce("component", "key").alias("component"), F.coalesce("main", "c_key").alias("main")
-        )
-        # pairs across components: one side is outside the centre's, so a group of copies is not paired with itself
-        x, y = labelled.filter("component <> main").alias("x"), labelled.alias("y")
-        outside = F.col("y.component") != F.col("y.main")
-        across = (F.col("x.component") != F.col("y.component")) & (~outside | (F.col("x.key") < F.col("y.key")))
-        second = x.join(y, (F.col("x.h") == F.col("y.h")) & across & _may_link(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
-        second = settle(second.select(*_pair(F.col("x.key"), F.col("y.key"))).distinct().join(first, ["a", "b"], "left_anti"))
-        links = settle(links.unionByName(_verified(texts, second, bits)))
+        more = _crowded_links(texts, classes, listed, joined, first)
+        if more is not None:
+            links = settle(links.unionByName(more[0]))
+            joined = settle(components(links))
+            listed = listed.join(more[1], "h", "left_anti")
+        labels = joined.select(F.col("node").alias("c_key"), F.col("component").alias("main"))
+        entries = _labelled(listed, joined).join(labels, "c_key", "left").withColumn("main", F.coalesce("main", "c_key"))
+        second = settle(_across(entries).join(first, ["a", "b"], "left_anti"))
+        found_links = condense(spark, lambda: _linked(second, _packed(texts, classes, _keys_of(second))))
+        links = links.unionByName(found_links)
     if links is None:
         return found.limit(0).select("key", F.col("key").alias("component"))
     return components(links).withColumnRenamed("node", "key")
@@ -375,7 +491,7 @@ def near_duplicates(docs: DataFrame, common: int = COMMON, bits: int = FILTER_BI
     which 40 bits when intersections are counted).
     """
     found = settle(shingle_sets(docs))
-    joined = join_classes(docs, found, common, bits, long)
+    joined = condense(docs.sparkSession, lambda: join_classes(docs, found, common, bits, long))
     keyed = found.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     keyed = settle(keyed.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key")))
     least = keyed.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -390,9 +506,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without words are kept. Of rows that share the least id, the one with the least
     text is kept, and one of those that are alike. A row without an id counts as having an
-    id before all others that follows from its text.
+    id before all others that follows from its text, and an id that is no whole number one that
+    follows from the id.
     """
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1) - F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
+    own = F.coalesce(F.col("doc_id").try_cast("long"), F.lit(-1) - F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), "text")), F.lit(1 << 62)))
     wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     groups = near_duplicates(docs.select(own.alias("doc_id"), "text"))
     ids = groups.filter("n_shingles > 0 and doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
