@@ -18,9 +18,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import settle
 from .hashing import FILTER_BITS, as_long, doubled, make_filter, passes, runs, sliding, words_of
 from .text import chunks, map_columns, map_rows
 
@@ -103,20 +104,25 @@ def _cut(raw: bytes, starts: list[int], window: int) -> tuple[int, int, bytes]:
     return len(words), int(gone.sum()), b" ".join([w for w, lost in zip(words, gone.tolist(), strict=True) if not lost])
 
 
+def _row_id(text: Column) -> Column:
+    """The id, or a hash for a row without one or with one that is no whole number."""
+    return F.coalesce(F.col("doc_id").try_cast("long"), F.xxhash64("doc_id", text))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row (and the kept text if asked for).
 
     A word goes when a window of ``window`` words around it also starts elsewhere, in
     another row or in the same text. Windows are judged on the input. Null and empty texts
     have no words; shorter texts lose nothing; rows alike repeat each other. Ids may be null
-    or repeated: the text is part of a row's key.
+    or repeated, and of any type: the text is part of a row's key.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("binary")
     # rows of one id are told apart by 16 bits of their text's hash; rows without id by all of it
     tag = F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    source = docs.filter(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("id"), tag.alias("tag"), text.alias("text"))
+    source = docs.filter(F.col("text").isNotNull()).select(_row_id(text).alias("id"), tag.alias("tag"), text.alias("text"))
     filters: list[np.ndarray] = []
     alive = True
     for _ in levels(window)[:-1]:
@@ -152,10 +158,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
             yield from (row for i, row in enumerate(part) if (i in open_) == wanted)
 
     found = map_columns(source, windows, "h long, id long, at long")
-    repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # settled, so that both sides of the join come straight from a shuffle and Spark can split a window of many texts
+    repeated = settle(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
     hits = found.join(repeated, "h").groupBy("id", F.shiftright("at", 32).cast("int").alias("tag")).agg(F.collect_set(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts"))
     open_docs = map_rows(
-        docs.filter(F.col("text").isNotNull()).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("id"), tag.alias("tag"), text.alias("text")),
+        docs.filter(F.col("text").isNotNull()).select("doc_id", _row_id(text).alias("id"), tag.alias("tag"), text.alias("text")),
         lambda rows: parted(rows, True), f"doc_id {kind}, id long, tag int, text binary",
     )
     met = open_docs.join(hits, ["id", "tag"], "left").select("doc_id", "starts", "text")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import settle
+from ..scratch import condense, settle
 
 #: Depth of the tree: leading tokens that tell templates apart.
 DEPTH = 8
@@ -85,7 +85,7 @@ def _bit_at(key: Column) -> tuple[Column, Column]:
     return F.shiftright(h, 3).bitwiseAND(F.lit(FILTER_BYTES - 1)).cast("int"), h.bitwiseAND(F.lit(7)).cast("int")
 
 
-def _filter_of(keys: DataFrame, column: str) -> Column | None:
+def filter_of(keys: DataFrame, column: str) -> Column | None:
     """A test that every key in ``column`` passes, and few others do; None if there is no key.
 
     Tasks are sent one byte string of fixed size.
@@ -116,7 +116,7 @@ def recurring_templates(rows: DataFrame, min_documents: int = MIN_DOCUMENTS) ->
     each = rows.select("key", F.explode(F.flatten("lines")).alias("leaf"))
     # rows are counted first, copies included: what is rare among rows is rare among texts
     common = settle(each.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents).select("leaf"))
-    passes = _filter_of(common, "leaf")
+    passes = filter_of(common, "leaf")
     if passes is None:
         return common
     held = settle(each.filter(passes).join(common, "leaf").distinct())
@@ -144,19 +144,13 @@ def drop_templates(
     third of all rows is one row once tasks have counted.
     """
     own = F.col("text")
-    lines = _leaves(own, depth, min_tokens, field_tokens)
-    pieces = F.filter(F.transform(F.split(own, MARKS), lambda p: F.when(F.btrim(p, F.lit(BLANKS)) != "", F.xxhash64(p))), lambda p: p.isNotNull())
-    rows = settle(docs.filter(own.isNotNull()).select(_key(own).alias("key"), lines.alias("lines"), pieces.alias("pieces")))
-    recurring = recurring_templates(rows, min_documents)
-    passes = _filter_of(recurring, "leaf")
-    if passes is None:
+    lost = condense(docs.sparkSession, lambda: _lost_lines(docs, depth, min_tokens, min_documents, field_tokens))
+    touched = filter_of(lost, "key")
+    if touched is None:
         return docs
-    each = rows.select("key", F.posexplode("lines").alias("at", "leaves")).select("key", "at", F.explode("leaves").alias("leaf"))
-    lost = each.filter(passes).join(recurring, "leaf").groupBy("key").agg(F.collect_set("at").alias("at"))
-    lost = settle(lost)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, _key(own).alias("key"))
-    touched = F.coalesce(_filter_of(lost, "key"), F.lit(False))
+    touched = F.coalesce(touched, F.lit(False))
     text = F.col("row.text")
     stay = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("at", i)), "\n")
     cut = keyed.filter(touched).join(lost, "key", "left").select("row", F.when(F.col("at").isNull(), text).otherwise(stay).alias("text"))
@@ -164,6 +158,19 @@ def drop_templates(
     return keyed.filter(~touched).select("row.*").unionByName(cut)
 
 
+def _lost_lines(docs: DataFrame, depth: int, min_tokens: int, min_documents: int, field_tokens: int) -> DataFrame:
+    """key of each text that loses lines, and their places in it (``at``)."""
+    own = F.col("text")
+    lines = _leaves(own, depth, min_tokens, field_tokens)
+    pieces = F.filter(F.transform(F.split(own, MARKS), lambda p: F.when(F.btrim(p, F.lit(BLANKS)) != "", F.xxhash64(p))), lambda p: p.isNotNull())
+    rows = settle(docs.filter(own.isNotNull()).select(_key(own).alias("key"), lines.alias("lines"), pieces.alias("pieces")))
+    recurring = recurring_templates(rows, min_documents)
+    passes = filter_of(recurring, "leaf")
+    each = rows.select("key", F.posexplode("lines").alias("at", "leaves")).select("key", "at", F.explode("leaves").alias("leaf"))
+    each = each.filter(F.lit(False) if passes is None else passes)
+    return each.join(recurring, "leaf").groupBy("key").agg(F.collect_set("at").alias("at"))
+
+
 def line_figures(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, n_chars and kept_sha256 of every row, for the operator's defaults."""
     before = docs.select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))

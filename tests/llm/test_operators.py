@@ -122,6 +122,18 @@ def test_substrings(docs, none, window):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_text_ids(spark):
+    rows = [("b", BASE), ("a", BASE), ("c", NEAR), ("7", "short one"), (None, BASE), ("b", "another text under an id that is taken"), ("x", None)]
+    table = spark.createDataFrame(rows, "doc_id string, text string")
+    groups = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard.near_duplicates(table).collect()}
+    assert groups["b", 56] == groups["a", 56] == groups["c", 56] == "a"
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.keep_one(table).collect())
+    assert sum(kept.values()) == 4 and kept["7", "short one"] == kept["x", None] == 1
+    assert sum(n for (_, t), n in kept.items() if t in (BASE, NEAR)) == 1
+    made = Counter(tuple(r) for r in substrings.remove_repeats(table).collect())
+    assert made == Counter((i, *one) for (i, _), one in zip(rows, brute_repeats([t for _, t in rows], 35), strict=True))
+
+
 def test_templates(spark, none):
     # digits are variable in the lines around as well, so letters make them differ
     notice = [(i, f"alpha {'b' * i} gamma\nLicensed on 2020-01-{i:02d} to all\nafter {'c' * i} more", "s") for i in range(1, 13)]
