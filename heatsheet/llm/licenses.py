@@ -12,7 +12,7 @@ what the bounds let through is counted exactly. Only built-in functions are used
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

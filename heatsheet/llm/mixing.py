@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
