@@ -51,7 +51,7 @@ ROUND_ABOVE = 32
 #: Rounds of further centres at most; what is open then is compared pair by pair.
 ROUNDS = 8
 #: A round that links fewer than one of so many pairs is the last one.
-ROUND_YIELD = 50
+ROUND_YIELD = 200
 #: Components known so far, up to which they are sent to every task.
 SENT_ROWS = 1_000_000
 #: Sizes that may enumerate subsets.
