@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import heatsheet as hs
-from heatsheet.operators.ordering import quantiles, running_before, with_position, with_rank
+from heatsheet.operators.ordering import quantiles, range_parts, running_before, with_position, with_rank
+from heatsheet.settings import FIRST_RANGE_PARTS, ONE_TASK_ROWS, RANGE_PART_ROWS
 
 METHODS = ["min", "dense", "average", "percent"]
 SMALL = 300  # rows one task may order: fewer than the hot group has, more than the others
@@ -142,3 +143,11 @@ def test_queries_take_the_split_way_alike(spark, sf_dir, name):
     )
     query = SPLIT_QUERIES[name]
     assert _rows(rounded(query(rows, 10**9))) == _rows(rounded(query(rows, 1500)))
+
+
+def test_range_partitions_are_no_more_than_pay():
+    assert range_parts(20, 10) == 4
+    # rows that a few tasks sort at once are not dealt to thousands of them
+    assert range_parts(135_000, 10) == FIRST_RANGE_PARTS
+    assert range_parts(50_000_000, 10) == 50_000_000 // RANGE_PART_ROWS
+    assert range_parts(10 * ONE_TASK_ROWS, ONE_TASK_ROWS) == 20
