@@ -219,7 +219,8 @@ def five_number(
     df: DataFrame, key: str, column: str, one_task_rows: int = ONE_TASK_ROWS
 ) -> DataFrame:
     """Minimum, quartiles and maximum of a column per key: the figures of a box plot."""
-    known = df.filter(F.col(key).isNotNull())
+    # ``quantiles`` reads its rows several times, and attempt numbers are costly to make
+    known = settle(df.filter(F.col(key).isNotNull()).select(key, column))
     places = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
     return quantiles(known, column, places, [key], one_task_rows)
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import heatsheet as hs
+from heatsheet.plans import competitions
 from helpers import day, facts, listed
 
 
@@ -434,3 +435,13 @@ def test_five_numbers(spark):
                          (1, 2, 3, 4, 5)])
     box = hs.five_number(hs.with_attempt_number(rows), "full_event", "attempt_number").first()
     assert (box.low, box.q1, box.median, box.q3, box.high) == (1, 2, 3, 4, 5)
+
+
+def test_five_numbers_make_their_rows_once(spark, monkeypatch):
+    settled, plain = [], competitions.settle
+    monkeypatch.setattr(competitions, "settle", lambda df: settled.append(df.columns) or plain(df))
+    rows = facts(spark, [{"name": "A", "date": f"2024-01-0{i}", "full_event": "E"} for i in (1, 2, 3)])
+    numbered = hs.with_attempt_number(rows, 2)
+    box = hs.five_number(numbered, "full_event", "attempt_number", 2).first()
+    # all that follows reads the stored values, and no attempt is numbered again
+    assert (box.low, box.median, box.high) == (1, 2, 3) and settled == [["full_event", "attempt_number"]]
