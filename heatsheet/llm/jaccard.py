@@ -32,7 +32,7 @@ from pyspark.sql.types import AtomicType
 from ..scratch import condense, settle
 from .components import components
 from .hashing import FILTER_BITS, LOWER, as_long, make_filter, mixed, passes, runs, words_of
-from .text import chunks, map_columns
+from .text import chunks, map_columns, small_batches
 
 SHINGLE = 5
 #: Linked when PART * intersection >= THRESHOLD * union.
@@ -490,8 +490,9 @@ def near_duplicates(docs: DataFrame, common: int = COMMON, bits: int = FILTER_BI
     null ids count for nothing. Sets and shingles are compared by 64-bit fingerprints (of
     which 40 bits when intersections are counted).
     """
-    found = settle(shingle_sets(docs))
-    joined = condense(docs.sparkSession, lambda: join_classes(docs, found, common, bits, long))
+    with small_batches(docs.sparkSession):
+        found = settle(shingle_sets(docs))
+        joined = condense(docs.sparkSession, lambda: join_classes(docs, found, common, bits, long))
     keyed = found.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     keyed = settle(keyed.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key")))
     least = keyed.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -73,3 +73,12 @@ def test_components_of_a_path(spark, n):
     links = [(nodes[i], nodes[i + 1]) for i in range(n - 1)] + [(500, 501), (501, 500), (502, 502)]
     made = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert made == {**dict.fromkeys(range(n), 0), 500: 500, 501: 500, 502: 502}
+
+
+def test_the_join_runs_on_small_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, plain = spark.conf.get(key), jaccard.settle
+    monkeypatch.setattr(jaccard, "settle", lambda df: seen.append(int(spark.conf.get(key))) or plain(df))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(star(4))], "doc_id long, text string")
+    jaccard.near_duplicates(docs)
+    assert 0 < seen[0] <= 512 and spark.conf.get(key) == before
