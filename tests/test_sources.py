@@ -217,3 +217,21 @@ def test_entries_in_buckets_join_without_a_shuffle(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     plain = entries.join(teams, "entry_id", "left")
     assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_buckets_are_written_by_more_tasks_than_there_are_buckets(spark, tmp_path):
+    entries = spark.createDataFrame([(f"e{i}", i) for i in range(200)], "entry_id string, n int")
+    teams = spark.createDataFrame([(f"e{i}", f"p{i % 7}") for i in range(200)], "entry_id string, competitor_id string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for usual, files in ((8, 8), (5, 6)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(usual))
+            path = tmp_path / str(usual)
+            stored = hs.bucket_sources({"competition_entries": entries, "entry_competitors": teams}, 2, str(path))
+            assert stored["competition_entries"].count() == stored["entry_competitors"].count() == 200
+            parts = [p.name for p in (path / "entry_competitors").glob("part-*")]
+            assert len(parts) == files and {p.split("_")[1][:5] for p in parts} == {"00000", "00001"}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
