@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import heatsheet as hs
 from heatsheet import schema
@@ -145,3 +146,26 @@ def test_tables_in_buckets_spare_the_exchanges_by_entry(spark, monkeypatch):
     assert same == rows
     assert plain.count("Exchange hashpartitioning(") == 8
     assert bucketed.count("Exchange hashpartitioning(") == 6 and "hashpartitioning(entry_id" not in bucketed
+
+
+def test_competitions_are_joined_when_no_join_moves_the_rows_any_more(spark, monkeypatch):
+    plan, _ = _join_plan(spark, monkeypatch, _tables(spark))
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 4 and "competition_id" in joins[0] and "competitor_id" not in joins[0]
+
+
+def test_competitions_that_bring_the_competitor_are_joined_before_it_is_needed(spark):
+    tables = _tables(spark)
+    owner = F.when(F.col("competition_id") == "c1", F.lit("p2"))
+    tables["competitions"] = tables["competitions"].withColumn("competitor_id", owner)
+    rows = {r.entry_id: r.name for r in hs.build_results(tables).collect()}
+    assert rows == {"e1": "Bob", "e2": "Bob", "e3": None, "e4": None}
+
+
+def test_totals_are_counted_before_the_ranks_are_repaired(spark, monkeypatch):
+    from heatsheet.operators import joins
+
+    plans, settle = [], joins.settle
+    monkeypatch.setattr(joins, "settle", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), settle(df))[1])
+    hs.build_results(_tables(spark), repair_events=["c1"]).collect()
+    assert len(plans) == 1 and "Union" not in plans[0]

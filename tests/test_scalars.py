@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from checks import registry
 from heatsheet.functions import clock, measures
 from heatsheet.operators.ordering import row_mean
 from helpers import evaluate
@@ -139,3 +140,16 @@ def test_typed_dates_are_left_alone(spark):
     table = spark.range(3).select(F.date_from_unix_date(F.col("id").cast("int")).alias("d"))
     shown = table.select(clock.to_day(F.col("d")).alias("day"))._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in shown and "string" not in shown
+
+
+def test_doubles_are_rounded_as_round_does(spark, monkeypatch):
+    some = [0.0, -0.0, 0.5, 2.5e-6, -2.5e-6, 5e-7, -5e-7, 4.9e-7, 1.0000005, 1.0000015, 0.1 + 0.2, 1 / 3, -2 / 3, 123456.7890125,
+            999999.9999995, 1e6 + 1 / 3, 1e9 + 0.1234565, 1e15 + 0.3, 1e300, 5e-324, float("inf"), float("-inf"), float("nan"), None]
+    many = [i / 2e6 for i in range(-2000, 2000)] + [(i * 7919 % 100003) / 997 for i in range(4000)]
+    rows = spark.createDataFrame([(v,) for v in some + many], "v double")
+    both = rows.select(F.round("v", 6).cast("string"), registry._rounded(F.col("v"), 6).cast("string")).collect()
+    assert [r[0] for r in both] == [r[1] for r in both]
+    # the plain way is for ties and for large values alone
+    monkeypatch.setattr(registry.F, "round", lambda value, places: F.lit(None).cast("double"))
+    fast = rows.select(F.sum(registry._rounded(F.col("v"), 6).isNotNull().cast("int"))).first()[0]
+    assert fast > len(many) / 2
